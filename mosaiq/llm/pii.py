@@ -78,13 +78,14 @@ def extract_pii(docs: DataFrame, least_conf: float = 0.6, least_support: int = 8
     rows = docs.select("doc_id", F.xxhash64(text).alias("h"), base_spans(text).alias("base"), find_spans(text, CONTEXT, 4, text.rlike("[0-9]")).alias("ctx"))
     word = F.regexp_replace(F.lower(F.substring_index("c.m", " ", 1)), r"[^\p{L}@]", "")
     token = F.substring_index("c.m", " ", -1)
-    seeded = F.transform("ctx", lambda c: F.struct(c.alias("c"), F.exists("base", lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"] + F.length(F.substring_index(c["m"], " ", 1)))).cast("int").alias("seed")))
+    seed_of = lambda c: F.get(F.filter("base", lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"] + F.length(F.substring_index(c["m"], " ", 1)))), 0)["m"]
+    seeded = F.transform("ctx", lambda c: F.struct(c.alias("c"), seed_of(c).alias("of")))
     found = (
         rows.filter(F.size("ctx") > 0)
         .select("doc_id", "h", F.inline(seeded))
-        .select("doc_id", "h", "seed", (F.col("c.s") + F.length(F.substring_index("c.m", " ", 1)) + 1).alias("s"), F.col("c.e").alias("e"), word.alias("pattern"), token.alias("token"))
+        .select("doc_id", "h", "of", (F.col("c.s") + F.length(F.substring_index("c.m", " ", 1)) + 1).alias("s"), F.col("c.e").alias("e"), word.alias("pattern"), token.alias("token"))
         .filter(F.col("pattern") != "")
-        .withColumn("instance", F.xxhash64("token"))
+        .withColumns({"instance": F.xxhash64(F.coalesce("of", "token")), "seed": F.col("of").isNotNull().cast("int")})
     )
     good = score_patterns(instance_edges(found.select("pattern", "instance", "seed")), rounds).filter((F.col("conf") >= least_conf) & (F.col("support") >= least_support)).select("pattern")
     extra = found.filter("seed = 0").join(good, "pattern").groupBy("doc_id", "h").agg(F.collect_set(F.struct(F.col("s"), F.lit(4).alias("k"), F.col("e"), F.lit("").alias("m"))).alias("extra"))
