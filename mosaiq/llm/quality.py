@@ -100,7 +100,7 @@ def _tree2(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
     """One cut in each of two features, four leaves; its gain, and what it adds to each cell."""
     cg, ch = (np.cumsum(np.cumsum(np.pad(x, ((1, 0), (1, 0))), 0), 1) for x in (g, h))
     a, b = np.meshgrid(np.arange(1, g.shape[0]), np.arange(1, g.shape[1]), indexing="ij")
-    quads = lambda c: (c[a, b], c[a, -1:] - c[a, b], c[-1:, b] - c[a, b], c[-1, -1] - c[a, -1:] - c[-1:, b] + c[a, b])
+    quads = lambda c: (c[a, b], c[:, -1][a] - c[a, b], c[-1][b] - c[a, b], c[-1, -1] - c[:, -1][a] - c[-1][b] + c[a, b])
     if not a.size:
         return 0.0, np.zeros_like(g)
     gain = sum(_gain(x, y) for x, y in zip(quads(cg), quads(ch), strict=True)) - _gain(cg[-1, -1], ch[-1, -1])
