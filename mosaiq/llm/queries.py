@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import bpe, fingerprints, licenses, pii, quality, secrets
+from mosaiq.llm import bpe, fingerprints, licenses, pii, quality, secrets, substrings
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
@@ -38,5 +42,5 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_digest(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_license_scan, op4_bpe, op5_quality, op6_secret_scan, op7_pii, op8_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_bpe, op5_quality, op6_secret_scan, op7_pii, op8_fingerprints)}
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.licenses_sql()}
