@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.llm.lineage import cut
 from mosaiq.llm.spans import SPAN, count_kind, find_spans, joined
 
 KINDS = ["email", "ip", "card", "phone", "context"]
@@ -87,9 +88,10 @@ def extract_pii(docs: DataFrame, least_conf: float = 0.6, least_support: int = 8
         .filter(F.col("pattern") != "")
         .withColumns({"instance": F.xxhash64(F.coalesce("of", "token")), "seed": F.col("of").isNotNull().cast("int")})
     )
+    found = cut(found)
     good = score_patterns(instance_edges(found.select("pattern", "instance", "seed")), rounds).filter((F.col("conf") >= least_conf) & (F.col("support") >= least_support)).select("pattern")
     extra = found.filter("seed = 0").join(good, "pattern").groupBy("doc_id", "h").agg(F.collect_set(F.struct(F.col("s"), F.lit(4).alias("k"), F.col("e"), F.lit("").alias("m"))).alias("extra"))
-    out = rows.join(extra.select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), "extra"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left")
+    out = rows.drop("ctx").join(extra.select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), "extra"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left")
     return out.select("doc_id", "base", F.coalesce("extra", F.array().cast(SPAN)).alias("extra"))
 
 
