@@ -11,15 +11,16 @@ came, so positions are never sent at all.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = "block bigint, ids array<bigint>, lens array<int>, data binary"
+BLOCKS = "block bigint, ids array<bigint>, lens array<int>, data binary, rest array<string>"
 FLAGS = "block bigint, round int, bucket int, flags binary"
 SENT = "round int, bucket int, block bigint, data binary"
 #: Bytes of text in a block; a longer document is a block of its own.
@@ -28,34 +29,38 @@ BLOCK_BYTES = 2_000_000
 BUCKET_ROWS = 1_500_000
 
 
-def pack_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of docs(doc_id, text), null texts as empty ones.
+def pack_blocks(docs: DataFrame, rest: Column | None = None) -> DataFrame:
+    """Blocks of docs(doc_id, text), null texts as empty ones; rest is a string to carry for each document.
 
     A block's number is its task and its place there. A task that runs again
     reads the same rows and so makes the same blocks.
     """
 
+    carried = rest is not None
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, k, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        task, k, ids, texts, rests, size = TaskContext.get().partitionId(), 0, [], [], [], 0
         press = zstandard.ZstdCompressor(level=3)
 
         def block() -> pd.DataFrame:
-            return pd.DataFrame({"block": [(task << 32) + k], "ids": [ids], "lens": [[len(t) for t in texts]], "data": [press.compress(b"".join(texts))]})
+            return pd.DataFrame({"block": [(task << 32) + k], "ids": [ids], "lens": [[len(t) for t in texts]], "data": [press.compress(b"".join(texts))], "rest": [rests]})
 
         for batch in batches:
-            for i, known, text in zip(batch["doc_id"].tolist(), batch["known"].tolist(), batch["text"]):  # noqa: B905
+            for i, known, text, other in zip(batch["doc_id"].tolist(), batch["known"].tolist(), batch["text"], batch["rest"] if carried else repeat(None)):  # noqa: B905
                 raw = text.encode()
                 if texts and size + len(raw) > BLOCK_BYTES:
                     yield block()
-                    k, ids, texts, size = k + 1, [], [], 0
+                    k, ids, texts, rests, size = k + 1, [], [], [], 0
                 ids.append(int(i) if known else None)
                 texts.append(raw)
+                if carried:
+                    rests.append(other)
                 size += len(raw)
         if texts:
             yield block()
 
     known = F.col("doc_id").isNotNull()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc_id"), known.alias("known"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc_id"), known.alias("known"), F.coalesce("text", F.lit("")).alias("text"), *([rest.alias("rest")] if rest is not None else []))
     return rows.mapInPandas(pack, BLOCKS)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import bpe, fingerprints, licenses, pii, quality, secrets, setjoin, substrings
+from mosaiq.llm import bpe, fingerprints, licenses, lines, pii, quality, secrets, setjoin, substrings
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +42,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_digest(documents(spark, sf_dir))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(documents(spark, sf_dir))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_components(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_bpe, op5_quality, op6_secret_scan, op7_pii, op8_fingerprints, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_bpe, op5_quality, op6_secret_scan, op7_pii, op8_fingerprints, op9_line_dedup, op10_jaccard_join)}
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.licenses_sql()}
