@@ -24,7 +24,7 @@ BLOCKS = "block bigint, ids array<bigint>, lens array<int>, data binary, rest ar
 FLAGS = "block bigint, round int, bucket int, flags binary"
 SENT = "round int, bucket int, block bigint, data binary"
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: Fingerprints that a bucket should have.
 BUCKET_ROWS = 1_500_000
 
