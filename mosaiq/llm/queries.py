@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import bpe, fingerprints, licenses, lines, pii, quality, secrets, setjoin, substrings
+from mosaiq.llm import bpe, decontaminate, fingerprints, licenses, lines, pii, quality, secrets, setjoin, substrings
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
@@ -50,5 +54,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_components(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_bpe, op5_quality, op6_secret_scan, op7_pii, op8_fingerprints, op9_line_dedup, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_license_scan, op4_bpe, op5_quality, op6_secret_scan, op7_pii, op8_fingerprints, op9_line_dedup, op10_jaccard_join)}
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.licenses_sql()}
