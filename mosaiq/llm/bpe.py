@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import re
@@ -44,7 +45,11 @@ class Bpe:
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in added}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.ranks = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
+        pairs = [(raw(a), raw(b)) for a, b in pairs]
+        #: by the ids of both parts; and what they become, by rank
+        self.ranks = {self.ids[a] << 32 | self.ids[b]: k for k, (a, b) in enumerate(pairs)}
+        self.made = [self.ids[a + b] for a, b in pairs]
+        self.first = [self.ids[bytes([b])] for b in range(256)]
         self.added = added
         self.bytes = [b""] * (max([*self.ids.values(), *added.values()]) + 1)
         for t, i in [*self.ids.items(), *((t.encode(), i) for t, i in added.items())]:
@@ -52,48 +57,42 @@ class Bpe:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the pair of lowest rank is joined, leftmost first, until none is left."""
-        parts = [word[i : i + 1] for i in range(len(word))]
+        parts = [self.first[b] for b in word]
         if len(parts) > 200:
             return self._merge_long(parts)
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = min((ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:])))  # noqa: B905
-            if best == 1 << 30:
-                break
-            a, b = parts[at], parts[at + 1]
-            out, i = parts[:at], at
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.ids[p] for p in parts]
-
-    def _merge_long(self, parts: list[bytes]) -> list[int]:
+        get, none = self.ranks.get, 1 << 30
+        ranks = [get(a << 32 | b, none) for a, b in zip(parts, parts[1:])]  # noqa: B905
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            parts[i : i + 2] = [self.made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(parts[i - 1] << 32 | parts[i], none)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] << 32 | parts[i + 1], none)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
         """The same by a heap over a linked list: n log n, for words of any length."""
-        import heapq
-
         n = len(parts)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
+        rank = lambda i, j: self.ranks.get(parts[i] << 32 | parts[j])
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank(i, i + 1)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j < 0 or parts[j] != b:
                 continue
-            parts[i], parts[j] = a + b, b""
+            parts[i], parts[j] = self.made[best], -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (r := self.ranks.get((parts[i], parts[k]))) is not None:
+                if (r := rank(i, k)) is not None:
                     heapq.heappush(heap, (r, i, parts[i], parts[k]))
-            if (h := before[i]) >= 0 and (r := self.ranks.get((parts[h], parts[i]))) is not None:
+            if (h := before[i]) >= 0 and (r := rank(h, i)) is not None:
                 heapq.heappush(heap, (r, h, parts[h], parts[i]))
-        return [self.ids[p] for p in parts if p]
+        return [p for p in parts if p >= 0]
 
 
 class Lexicon:
@@ -214,7 +213,7 @@ class Encoder(dict):
                 ids.append(self.bpe.added[part])
             elif part:
                 pieces = self.pieces.findall(part)
-                if new := set(pieces).difference(self):
+                if new := {p for p in pieces if p not in self}:
                     self.learn(new | set(pieces) if len(self) + len(new) > MEMO else new)
                 for p in pieces:
                     ids += self[p]
@@ -302,19 +301,21 @@ def _encoder_for(docs: DataFrame, tokenizer: str, lexicon_words: int):  # noqa:
     return make
 
 
-def bpe_digest(docs: DataFrame, tokenizer: str, lexicon_words: int = 50_000) -> DataFrame:
-    """encode() summed up by row: the ids and the decoded text stay in the worker."""
+def bpe_digest(docs: DataFrame, tokenizer: str, lexicon_words: int = 50_000, ids: bool = False) -> DataFrame:
+    """encode() summed up by row: decoded texts stay in the worker, and unless ids is set the ids too."""
     make = _encoder_for(docs, tokenizer, lexicon_words)
 
+    kind = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = make()
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                ids = encoder.encode(text)
-                rows.append((len(ids), sha(",".join(map(encoder.names.__getitem__, ids))), sha(encoder.decode(ids))))
-            n, a, b = zip(*rows) if rows else ([], [], [])  # noqa: B905
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": pd.Series(a, dtype=str), "decoded_sha256": pd.Series(b, dtype=str)})
+                found = encoder.encode(text)
+                rows.append((len(found), sha(",".join(map(encoder.names.__getitem__, found))), sha(encoder.decode(found)), *([found] if ids else [])))
+            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])])
+            yield out.assign(doc_id=batch["doc_id"].to_numpy())
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, kind)

@@ -83,4 +83,4 @@ def test_long_merge(n):
     r = random.Random(n)
     word = bytes(r.choice(b"aaabbthe er\xc3\xa9") for _ in range(n))
     ids = model.merge(word)
-    assert ids == model._merge_long([word[i : i + 1] for i in range(n)])
+    assert ids == model._merge_long([model.first[b] for b in word])
