@@ -26,7 +26,7 @@ SENT = "round int, bucket int, block bigint, data binary"
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 1_000_000
 #: Fingerprints that a bucket should have.
-BUCKET_ROWS = 1_500_000
+BUCKET_ROWS = 800_000
 
 
 def pack_blocks(docs: DataFrame, rest: Column | None = None) -> DataFrame:
