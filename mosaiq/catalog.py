@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from mosaiq.operators import compositing, pixels  # noqa: F401
+    from mosaiq.operators import compositing, hierarchy, metadata, pixels  # noqa: F401
 
 
 load()
