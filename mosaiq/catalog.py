@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from mosaiq.operators import compositing, diffing, hierarchy, metadata, pixels, statistics  # noqa: F401
+    from mosaiq.operators import compositing, diffing, documents, hierarchy, metadata, pixels, planning, statistics, tiling  # noqa: F401
 
 
 load()
