@@ -34,7 +34,7 @@ NOMINATE, DECIDE = 6, 8
 
 
 @cache
-def _letters(seed: int) -> np.ndarray:
+def letters(seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, 256, dtype=np.uint64)
 
 
@@ -69,7 +69,7 @@ class Text:
     def windows(self, at: np.ndarray, size: int, which: int) -> np.ndarray:
         up, down = powers(BASES[which], len(self.raw))
         if which not in self.sums:
-            self.sums[which] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_letters(which)[self.raw] * up[: len(self.raw)], dtype=np.uint64)])
+            self.sums[which] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters(which)[self.raw] * up[: len(self.raw)], dtype=np.uint64)])
         c = self.sums[which]
         return packed.mix((c[at + size] - c[at]) * down[at])
 
