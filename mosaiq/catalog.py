@@ -1,46 +1,6 @@
-"""Queries over the driver's tables, one per operator, with the SQL that must give the same rows."""
+"""All queries: importing the modules registers them."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-from functools import cached_property
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-class Tables:
-    """The driver's tables as DataFrames, and the model's tables that are mapped from them."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.dir = spark, sf_dir
-
-    def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-
-    @cached_property
-    def model(self):  # noqa: ANN201
-        from mosaiq import model
-
-        return model.Model(self)
-
-
-def query(name: str, sql: str | None = None) -> Callable:
-    """Registers a function of Tables as a query, and its SQL."""
-
-    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def load() -> None:
-    from mosaiq.operators import compositing, diffing, documents, hierarchy, metadata, pixels, planning, statistics, tiling  # noqa: F401
-
-
-load()
+from mosaiq.operators import compositing, diffing, documents, hierarchy, metadata, pixels, planning, statistics, tiling  # noqa: F401
+from mosaiq.registry import ORACLES, QUERIES  # noqa: F401
+from mosaiq.sources import queries  # noqa: F401
+from mosaiq.streaming import sessions  # noqa: F401

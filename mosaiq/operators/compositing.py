@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.catalog import Tables, query
+from mosaiq.registry import Tables, query
 from mosaiq.model import PIXELS_SQL
 
 EVENT = "struct<ord:bigint,sr:bigint,sg:bigint,sb:bigint,sa:bigint,mask:bigint,opacity:bigint>"

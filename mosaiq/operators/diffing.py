@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.catalog import Tables, query
+from mosaiq.registry import Tables, query
 from mosaiq.model import RECTS_SQL, SEGMENTS_SQL, SNAPSHOTS_SQL
 from mosaiq.operators.statistics import coalesce_intervals
 

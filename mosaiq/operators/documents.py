@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.catalog import Tables, query
+from mosaiq.registry import Tables, query
 
 LABELS = {("view", "de"): "Ansicht", ("view", "fr"): "vue", ("click", "de"): "Klick", ("error", "fr"): "erreur"}
 _LABEL_ROWS = ", ".join(f"('{k}', '{lang}', '{v}')" for (k, lang), v in LABELS.items())

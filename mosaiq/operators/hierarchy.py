@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.catalog import Tables, query
+from mosaiq.registry import Tables, query
 from mosaiq.model import LAYERS_SQL
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.catalog import Tables, query
+from mosaiq.registry import Tables, query
 from mosaiq.model import LAYERS_SQL
 
 # Type codes and what they stand for.

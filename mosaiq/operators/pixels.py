@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.catalog import Tables, query
+from mosaiq.registry import Tables, query
 from mosaiq.functions import blend, filters
 from mosaiq.functions.blend import RGB, byte
 from mosaiq.model import PIXELS_SQL

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.catalog import Tables, query
+from mosaiq.registry import Tables, query
 from mosaiq.model import LAYERS_SQL, RECTS_SQL, SEGMENTS_SQL
 from mosaiq.operators.statistics import _TILED, COST, explode_tiles
 
