@@ -22,13 +22,11 @@ from pyspark.sql import functions as F
 from mosaiq.llm.lines import FOLD
 
 WINDOW, STRIDE = 64, 32
-RANK = 96
+RANK = 64
 #: Cosine in the latent space from which words are compared.
-NEAR = 0.3
+NEAR = 0.4
 #: Share of an item's words in common with a stretch of text: enough alone, and enough if the item's answer is there whole.
 ALONE, WITH_ANSWER = 0.8, 0.6
-#: A word is rare if it occurs in no more than this share of the passages.
-RARE = 0.01
 #: Items that are searched for at a time.
 ITEM_BLOCK = 5000
 FLUSH = 60_000
@@ -101,13 +99,24 @@ def read_items(benchmark: DataFrame) -> list[Item]:
 
 @dataclass
 class Space:
-    """Word weights and latent directions, and the items' unit vectors there."""
+    """Word weights and latent directions, the items' unit vectors there, and their key words.
+
+    Text can't hold an item without one of its key words: its rarest words, as
+    many as it may lack and one more, and the rarest word of its answer.
+    """
 
     vocab: dict[bytes, int]
-    rare: np.ndarray
     basis: np.ndarray
     items: np.ndarray
-    open_items: bool  # some item has too few rare words for a window to need one
+    key_ends: np.ndarray  # by word, where its items end in key_items
+    key_items: np.ndarray
+    words: list[np.ndarray]  # by item
+    answers: list[np.ndarray]
+
+    def may_hold(self, present: np.ndarray, item: int) -> bool:
+        """Whether the words alone allow that text has the item."""
+        share = present[self.words[item]].mean()
+        return share >= ALONE or share >= WITH_ANSWER and bool(present[self.answers[item]].all())
 
 
 def _terms(row: np.ndarray, word: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,24 +204,32 @@ def fit_space(docs: DataFrame, items: list[Item], rank: int = RANK) -> Space:
     u, s, _ = np.linalg.svd(y @ (vecs[:, good] / np.sqrt(vals[good])), full_matrices=False)
     basis = (idf[:, None] * u[:, : min(rank, int((s > 0).sum()))]).astype(np.float32)
     _, vectors = _sum_rows(own[0], own[2][:, None] * basis[own[1]])
-    rare = df <= RARE * n
-    few = [sum(bool(rare[vocab[w]]) for w in i.words) <= (1 - WITH_ANSWER) * len(i.words) for i in items]
-    return Space(vocab, rare, basis, (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).astype(np.float32), any(few))
+    words, answers = ([np.array([vocab[w] for w in x], np.int64) for x in side] for side in ([i.words for i in items], [i.answer for i in items]))
+    keys = sorted({(w, k) for k, (ws, an) in enumerate(zip(words, answers, strict=True)) for w in key_words(ws, an, df)})
+    ends = np.cumsum(np.bincount([w for w, _ in keys], minlength=d))
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    return Space(vocab, basis, unit.astype(np.float32), ends, np.array([k for _, k in keys], np.int64), words, answers)
+
+
+def key_words(words: np.ndarray, answer: np.ndarray, df: np.ndarray) -> set[int]:
+    """The rarest words that make up more of an item than it may lack, and the answer's rarest."""
+    ids, n = np.unique(words, return_counts=True)
+    order = np.lexsort((ids, df[ids]))
+    enough = int(np.searchsorted(np.cumsum(n[order]), (1 - ALONE) * len(words), side="right")) + 1
+    return {*ids[order[:enough]].tolist(), int(answer[np.lexsort((answer, df[answer]))[0]])}
 
 
 def search_texts(space: Space, items: list[Item], texts: list[str]) -> list[dict[int, float]]:
     """For each text the items found in it, and the share of their words in common."""
     found: list[dict[int, float]] = [{} for _ in texts]
     split = [tokens(t) for t in texts]
+    coded = [np.array([space.vocab.get(w, -1) for w in ws], np.int64) for ws in split]
+    many = np.append(np.diff(np.concatenate([[0], space.key_ends])), 0)  # the last is for words of no item
     starts, docs, rows, words, n = [], [], [], [], 0
-    for d, ws in enumerate(split):
-        ids = np.array([space.vocab.get(w, -1) for w in ws], np.int64)
+    for d, ids in enumerate(coded):
         first = np.arange(0, max(1, len(ids) - WINDOW + STRIDE), STRIDE)
-        hits = np.concatenate([[0], np.cumsum(ids >= 0)])
-        rares = np.concatenate([[0], np.cumsum(space.rare[ids] & (ids >= 0))])
-        ends = np.minimum(first + WINDOW, len(ids))
-        first = first[(hits[ends] > hits[first]) & (space.open_items | (rares[ends] > rares[first]))]
-        for a in first.tolist():
+        keys = np.concatenate([[0], np.cumsum(many[ids] > 0)])
+        for a in first[keys[np.minimum(first + WINDOW, len(ids))] > keys[first]].tolist():
             part = ids[a : a + WINDOW]
             rows.append(np.full(len(part), n))
             words.append(part)
@@ -227,10 +244,24 @@ def search_texts(space: Space, items: list[Item], texts: list[str]) -> list[dict
         low, high = np.searchsorted(row, (a, b))
         which, vectors = _sum_rows(row[low:high], count[low:high, None] * space.basis[word[low:high]])
         cosine = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)) @ space.items.T
-        for k, i in zip(*np.nonzero(cosine >= NEAR)):  # noqa: B905
-            w = int(which[k])
-            item, hit = items[i], found[docs[w]]
-            if hit.get(item.item_id, 0) < 1 and (share := item.share(split[docs[w]], starts[w], starts[w] + WINDOW)) > hit.get(item.item_id, 0):
+        # items with a key word in the window
+        r, w = row[low:high], word[low:high]
+        times = many[w]
+        at = np.repeat(space.key_ends[w] - times, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        keyed = np.zeros(cosine.shape, bool)
+        keyed[np.searchsorted(which, np.repeat(r, times)), space.key_items[at]] = True
+        last, present = -1, np.zeros(0, bool)
+        for k, i in zip(*np.nonzero(keyed & (cosine >= NEAR))):  # noqa: B905
+            win = int(which[k])
+            item, hit, text = items[i], found[docs[win]], coded[docs[win]]
+            if hit.get(item.item_id, 0) >= 1:
+                continue
+            reach = len(item.words)
+            if reach > WINDOW or last != win:
+                last, present = (win, np.zeros(len(space.vocab) + 1, bool)) if reach <= WINDOW else (-1, np.zeros(len(space.vocab) + 1, bool))
+                wide = max(reach, WINDOW)
+                present[text[max(0, starts[win] - wide) : starts[win] + WINDOW + wide]] = True
+            if space.may_hold(present, i) and (share := item.share(split[docs[win]], starts[win], starts[win] + WINDOW)) > hit.get(item.item_id, 0):
                 hit[item.item_id] = share
     return found
 
