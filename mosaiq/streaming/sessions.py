@@ -108,12 +108,12 @@ def i4_actions(t: Tables) -> DataFrame:
 
 def watch_changes(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """I9 (extension): changes of a file stream of (path, hash, ts), each once; state is dropped behind the watermark."""
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["path", "hash"])
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["path", "hash"])
 
 
 def windowed_counts(stream: DataFrame, delay: str = "1 hour", size: str = "1 day") -> DataFrame:
     """Extension: counts by event type in tumbling windows; late rows behind the watermark are dropped."""
-    return stream.withWatermark("ts", delay).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def answer_requests(batches: Iterator[list[dict]], cache: CheckpointCache) -> Iterator[dict]:
