@@ -10,6 +10,7 @@ import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,9 @@ WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N
 #: No word of the pattern reaches across two of these pieces, and none depends on a neighbour.
 PIECES = rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Pieces a worker remembers before it starts anew.
-MEMO = 300_000
+MEMO = 900_000
+#: Texts that are encoded together.
+BATCH = 100
 
 
 def byte_letters() -> dict[str, int]:
@@ -207,17 +210,25 @@ class Encoder(dict):
             self[p] = known[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in known[w])
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for k, part in enumerate(self.marks.split(text) if self.marks else [text]):
-            if k % 2:
-                ids.append(self.bpe.added[part])
-            elif part:
-                pieces = self.pieces.findall(part)
-                if new := {p for p in pieces if p not in self}:
-                    self.learn(new | set(pieces) if len(self) + len(new) > MEMO else new)
-                for p in pieces:
-                    ids += self[p]
-        return ids
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; what isn't known yet of all of them is learnt at once."""
+        parts = [self.marks.split(t) if self.marks else [t] for t in texts]
+        split = [[self.pieces.findall(x) for x in p[::2]] for p in parts]
+        every = set().union(*(x for p in split for x in p))
+        new = {x for x in every if x not in self}
+        if new:
+            self.learn(every if len(self) + len(new) > MEMO else new)
+        out = []
+        get = self.__getitem__
+        for p, pieces in zip(parts, split):  # noqa: B905
+            ids = list(chain.from_iterable(map(get, pieces[0])))
+            for mark, more in zip(p[1::2], pieces[1:]):  # noqa: B905
+                ids.append(self.bpe.added[mark])
+                ids.extend(chain.from_iterable(map(get, more)))
+            out.append(ids)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Bytes that aren't UTF-8 become the replacement character."""
@@ -278,7 +289,8 @@ def encode(docs: DataFrame, tokenizer: str, lexicon_words: int = 50_000) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = make()
         for batch in batches:
-            ids = [encoder.encode(t or "") for t in batch["text"]]
+            texts = batch["text"].tolist()
+            ids = [i for k in range(0, len(texts), BATCH) for i in encoder.encode_batch(texts[k : k + BATCH])]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "decoded": [encoder.decode(i) for i in ids]})
 
     return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id bigint, ids array<int>, decoded string")
@@ -312,8 +324,8 @@ def bpe_digest(docs: DataFrame, tokenizer: str, lexicon_words: int = 50_000, ids
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                found = encoder.encode(text)
+            texts = batch["text"].tolist()
+            for found in (i for k in range(0, len(texts), BATCH) for i in encoder.encode_batch(texts[k : k + BATCH])):
                 rows.append((len(found), sha(",".join(map(encoder.names.__getitem__, found))), sha(encoder.decode(found)), *([found] if ids else [])))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])])
             yield out.assign(doc_id=batch["doc_id"].to_numpy())
