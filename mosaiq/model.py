@@ -103,6 +103,11 @@ class Model:
         linked = nodes.withColumn("next_id", F.coalesce(F.lead("layer_id").over(siblings), F.lit(0))).join(children, F.col("layer_id") == F.col("of"), "left").drop("of")
         return linked.withColumn("first_child", F.coalesce("first_child", F.lit(0))).select("layer_id", "parent", "depth", *_columns(LAYERS), "next_id", "first_child")
 
+    @property
+    def tree(self) -> DataFrame:
+        """Layers with their parents and without the stored links, for walks from parent to child."""
+        return self.nodes.select("layer_id", "parent", "depth", *_columns(LAYERS))
+
     @property
     def snapshots(self) -> tuple[DataFrame, DataFrame]:
         """Tiles of two versions, one row per (kind, layer, tile)."""

@@ -20,12 +20,16 @@ def parents(layers: DataFrame) -> DataFrame:
 
 
 def levels(layers: DataFrame, root: int) -> list[DataFrame]:
-    """Visible layers below root level by level: as many joins as the tree is deep. A hidden layer hides what is below it, not its siblings."""
-    shown = layers.filter("(visibility & 1) <> 0").select("layer_id", "parent")
+    """Visible layers below root level by level: as many joins as the tree is deep. A hidden layer hides what is below it, not its siblings.
+
+    The links and each level are kept, so that a level isn't walked again for
+    those below it; what is lost with an executor is computed again.
+    """
+    shown = layers.filter("(visibility & 1) <> 0").select("layer_id", "parent").persist()
     out = [layers.filter(F.col("layer_id") == root).select("layer_id", F.lit(None).cast("bigint").alias("parent"), F.lit(0).cast("bigint").alias("tree_depth"))]
     while True:
         above = out[-1].select(F.col("layer_id").alias("up"), "tree_depth")
-        below = shown.join(above, F.col("parent") == F.col("up")).select("layer_id", "parent", (F.col("tree_depth") + 1).alias("tree_depth"))
+        below = shown.join(above, F.col("parent") == F.col("up")).select("layer_id", "parent", (F.col("tree_depth") + 1).alias("tree_depth")).persist()
         if below.isEmpty():
             return out
         out.append(below)
@@ -62,18 +66,18 @@ plan AS (SELECT s.node_id, s.layer_id, s.parent, s.tree_depth, s.node_id + (SELE
 
 @query("h1_preorder", f"{WALK_SQL} SELECT node_id, layer_id, parent, tree_depth FROM plan")
 def h1(t: Tables) -> DataFrame:
-    return preorder(t.model.layers).drop("subtree_end")
+    return preorder(t.model.tree).drop("subtree_end")
 
 
 @query("h3_subtree_range", f"{WALK_SQL} SELECT layer_id, node_id, subtree_end, subtree_end - node_id AS nodes FROM plan")
 def h3(t: Tables) -> DataFrame:
-    return preorder(t.model.layers).select("layer_id", "node_id", "subtree_end", (F.col("subtree_end") - F.col("node_id")).alias("nodes"))
+    return preorder(t.model.tree).select("layer_id", "node_id", "subtree_end", (F.col("subtree_end") - F.col("node_id")).alias("nodes"))
 
 
 @query("w4_subtree_end", f"{WALK_SQL} SELECT a.node_id, coalesce(min(b.node_id), (SELECT count(*) FROM plan)) AS subtree_end FROM plan a LEFT JOIN plan b ON b.node_id > a.node_id AND b.tree_depth <= a.tree_depth GROUP BY a.node_id")
 def w4(t: Tables) -> DataFrame:
     """The next row at the same depth or above; the subtree's size gives it without a range join."""
-    return preorder(t.model.layers).select("node_id", "subtree_end")
+    return preorder(t.model.tree).select("node_id", "subtree_end")
 
 
 @query(
@@ -117,13 +121,13 @@ def h5(t: Tables) -> DataFrame:
 @query("h6_nested_ordinals", f"{WALK_SQL} SELECT layer_id, row_number() OVER (PARTITION BY parent ORDER BY node_id) - 1 AS place, node_id AS ordinal FROM plan")
 def h6(t: Tables) -> DataFrame:
     """H6: depth-first ordinals, and the place within the parent."""
-    plan = preorder(t.model.layers)
+    plan = preorder(t.model.tree)
     return plan.select("layer_id", (F.row_number().over(Window.partitionBy("parent").orderBy("node_id")) - 1).cast("bigint").alias("place"), F.col("node_id").alias("ordinal"))
 
 
 @query("h7_leaf_flattening", f"{WALK_SQL} SELECT layer_id, node_id FROM plan WHERE subtree_end = node_id + 1")
 def h7(t: Tables) -> DataFrame:
-    return preorder(t.model.layers).filter("subtree_end = node_id + 1").select("layer_id", "node_id")
+    return preorder(t.model.tree).filter("subtree_end = node_id + 1").select("layer_id", "node_id")
 
 
 @query(
@@ -132,7 +136,7 @@ def h7(t: Tables) -> DataFrame:
 )
 def p7(t: Tables) -> DataFrame:
     """Visibility prunes whole subtrees while they are walked."""
-    return reduce(DataFrame.union, (x.select("tree_depth") for x in levels(t.model.layers, 1))).groupBy(F.col("tree_depth").alias("depth")).agg(F.count(F.lit(1)).alias("visible"))
+    return reduce(DataFrame.union, (x.select("tree_depth") for x in levels(t.model.tree, 1))).groupBy(F.col("tree_depth").alias("depth")).agg(F.count(F.lit(1)).alias("visible"))
 
 
 @query(
@@ -142,7 +146,7 @@ SELECT p.layer_id, CASE WHEN b.node_id = p.node_id THEN 'UnsupportedGroup' ELSE
 )
 def p16(t: Tables) -> DataFrame:
     """The reason goes down from an unsupported root, level by level, with equi-joins instead of a range join."""
-    layers = t.model.layers
+    layers = t.model.tree
     by_level = levels(layers, 1)
     reason = F.expr("CASE WHEN inside THEN 'InsideUnsupportedContainer' WHEN l_depth = 2 AND layer_id % 3 = 0 THEN 'UnsupportedGroup' END")
     out, above = [], None
