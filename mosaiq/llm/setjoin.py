@@ -2,10 +2,10 @@
 
 1. Document frequencies: each block sends its distinct shingles, packed, and
    gets back a frequency class for each.
-2. Index: in the order of frequency class and hash, two sets of likeness t
-   share a shingle among the first n - ceil(t n) + 1 of either. Those that
-   occur in one document only can't be shared and are left out, so most
-   documents send nothing. A list's entries meet at one node, not in pairs.
+2. Index: in the order of frequency class and hash, which is the same for all
+   sets, two sets of likeness t share a shingle among the first
+   n - ceil(t n) + 1 of either. Those that occur in one document only come
+   first, can't be shared and are left out, so most documents send nothing. A list's entries meet at one node, not in pairs.
 3. The lists' components hold all links. Within one, lists by shingle are
    skipped by size, one set's overlaps are counted, and those of the sets that
    it links with are derived from its own, by the shingles in which they
@@ -192,8 +192,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5) -> Da
             doc, h, own = block_set(row)
             place = np.searchsorted(own, h)
             inside = np.bincount(place, minlength=len(own))
-            level = packed.received(flags, 0, packed.mix(own), buckets).astype(np.int64) - 1 + (inside > 1)
-            level = level[place]
+            level = packed.received(flags, 0, packed.mix(own), buckets).astype(np.int64)
+            # the order must be the same in all blocks: only the block that alone has a shingle may rank it by its own count
+            level = np.where(level > 1, level, inside > 1)[place]
             order = np.lexsort((h, level, doc))
             sizes = np.bincount(doc, minlength=len(row["lens"]))
             start = np.cumsum(sizes) - sizes

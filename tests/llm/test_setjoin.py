@@ -73,6 +73,19 @@ def test_table(spark, sf):
     assert got(df) == brute([(r.doc_id, r.text) for r in df.collect()])
 
 
+def test_order_is_the_same_in_all_blocks(spark):
+    near, far, want = [], [], {}
+    for k in range(60):
+        shared = [f"s{k}x{j}" for j in range(9)]
+        # x and y are linked across blocks; z shares much with x in its block but isn't linked
+        x, y, z = [*shared, f"x{k}"], [*shared, f"y{k}"], [*shared[:7], *(f"z{k}x{j}" for j in range(5))]
+        near += [(3 * k, " ".join(x)), (3 * k + 2, " ".join(z))]
+        far.append((3 * k + 1, " ".join(y)))
+        want |= {3 * k: 3 * k, 3 * k + 1: 3 * k, 3 * k + 2: 3 * k + 2}
+    df = spark.createDataFrame(spark.sparkContext.parallelize([near, far], 2).flatMap(list), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in setjoin.jaccard_components(df, words=1).collect()} == want
+
+
 def test_derived_answers():
     r = np.random.default_rng(0)
     base = [np.sort(r.choice(2**40, 50, replace=False)).astype(np.uint64) for _ in range(4)]
