@@ -5,13 +5,16 @@ their TF-IDF matrix A (passages by words of the benchmark): Y = A'A Omega. Its
 Nystroem factors are the singular vectors; no task holds more than words by
 rank numbers, and no second pass is needed since the weights are diagonal and
 can be put in afterwards. A second pass maps windows of every document into
-that space, takes items of near direction, and compares the words themselves.
+that space and compares the words themselves with the items that the window's
+words allow, those of near direction first.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -23,8 +26,6 @@ from mosaiq.llm.lines import FOLD
 
 WINDOW, STRIDE = 64, 32
 RANK = 64
-#: Cosine in the latent space from which words are compared.
-NEAR = 0.4
 #: Share of an item's words in common with a stretch of text: enough alone, and enough if the item's answer is there whole.
 ALONE, WITH_ANSWER = 0.8, 0.6
 #: Items that are searched for at a time.
@@ -215,7 +216,8 @@ def key_words(words: np.ndarray, answer: np.ndarray, df: np.ndarray) -> set[int]
     """The rarest words that make up more of an item than it may lack, and the answer's rarest."""
     ids, n = np.unique(words, return_counts=True)
     order = np.lexsort((ids, df[ids]))
-    enough = int(np.searchsorted(np.cumsum(n[order]), (1 - ALONE) * len(words), side="right")) + 1
+    may_lack = len(words) - math.ceil(Fraction(str(ALONE)) * len(words))
+    enough = int(np.searchsorted(np.cumsum(n[order]), may_lack, side="right")) + 1
     return {*ids[order[:enough]].tolist(), int(answer[np.lexsort((answer, df[answer]))[0]])}
 
 
@@ -251,7 +253,10 @@ def search_texts(space: Space, items: list[Item], texts: list[str]) -> list[dict
         keyed = np.zeros(cosine.shape, bool)
         keyed[np.searchsorted(which, np.repeat(r, times)), space.key_items[at]] = True
         last, present = -1, np.zeros(0, bool)
-        for k, i in zip(*np.nonzero(keyed & (cosine >= NEAR))):  # noqa: B905
+        # all of them, the nearest of a window first: the cosine only orders them, since other words of a window can turn it away from what it holds
+        keyed_at, keyed_item = np.nonzero(keyed)
+        near_first = np.lexsort((-cosine[keyed_at, keyed_item], keyed_at))
+        for k, i in zip(keyed_at[near_first].tolist(), keyed_item[near_first].tolist()):  # noqa: B905
             win = int(which[k])
             item, hit, text = items[i], found[docs[win]], coded[docs[win]]
             if hit.get(item.item_id, 0) >= 1:

@@ -69,6 +69,25 @@ def test_paraphrases(spark):
     assert {r.doc_id: r.item_ids for r in out.collect()} == want
 
 
+def test_short_items_among_other_words(spark):
+    r = random.Random(8)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(600)]
+    bench = [(k, " ".join(r.sample(vocab, r.choice([5, 8, 10, 15])))) for k in range(200)]
+    docs = []
+    for k in range(150):
+        w = r.choice(bench)[1].split()
+        if k % 2:  # as many words as an item may lack
+            for j in r.sample(range(len(w)), len(w) // 5):
+                w[j] = "none"
+        docs.append((k, " ".join([r.choice(vocab) for _ in range(r.randrange(20, 90))] + w + [r.choice(vocab) for _ in range(r.randrange(20, 90))])))
+    spaces = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")
+    got = {(x.doc_id, int(i)) for x in dc.contamination_digest(*spaces).collect() for i in filter(None, x.item_ids.split(","))}
+    items = dc.read_items(spaces[1])
+    want = {(k, x.item_id) for k, t in docs for w in [dc.tokens(t)] for x in items if x.share(w, 0, len(w))}
+    assert len(want) >= 150
+    assert got == want
+
+
 @pytest.mark.parametrize(("docs", "bench"), [([], [(1, "a b c d")]), ([(1, "a b c d")], [])])
 def test_empty(spark, docs, bench):
     out = dc.contamination_digest(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).collect()
