@@ -68,7 +68,7 @@ END = r"([.!?:;])\s+"
 
 
 def norm(sentence: str) -> str:
-    """What normalised() makes of a sentence."""
+    """Lower case, and anything but ASCII letters and digits as one blank."""
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
@@ -79,14 +79,19 @@ def known() -> dict[str, int]:
 assert all(re.search(ANCHORS, s) for s in known())
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case, and anything but ASCII letters and digits as one blank."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """The normalised pieces of a text, with | before, between and after them.
+
+    Pieces end at a line's end, or at one of .!?:; before white space; comment
+    marks go like anything else but letters and digits.
+    """
+    cut = F.regexp_replace(F.translate(F.lower(text), "|", "-"), END + "|\n", "|")
+    return F.regexp_replace(F.concat(F.lit("|"), F.regexp_replace(cut, "[^a-z0-9|]+", " "), F.lit("|")), r" ?\|[| ]*", "|")
 
 
-def sentences(text: Column) -> Column:
-    """Sentences end at a line's end, or at one of .!?:; before white space."""
-    return F.split(F.regexp_replace(text, END, "$1\n"), "\n+", -1)
+def known_pattern() -> str:
+    """Runs of whole pieces that make up a known sentence, wherever it is cut; the longest first."""
+    return r"\|(?:" + "|".join(s.replace(" ", "[ |]") for s in sorted(known(), key=len, reverse=True)) + r")(?=\|)"
 
 
 def rule_pattern(ids: list[str]) -> str:
@@ -102,7 +107,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     table = F.create_map(*(F.lit(x) for pair in known().items() for x in pair))
     text = F.coalesce(F.col("text"), F.lit(""))
-    ids = F.filter(F.transform(F.filter(sentences(text), lambda s: F.lower(s).rlike(ANCHORS)), lambda s: F.element_at(table, normalised(s))), lambda i: i.isNotNull())
+    ids = F.transform(F.regexp_extract_all(marked(text), F.lit(known_pattern()), F.lit(0)), lambda s: F.element_at(table, F.trim(F.translate(s, "|", " "))))
     found = docs.select("doc_id", F.when(F.lower(text).rlike(ANCHORS), ids).otherwise(F.array().cast("array<int>")).alias("ids"))
     seq = found.select("doc_id", F.size("ids").cast("bigint").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"))
     hits = F.array(*(F.when(F.col("sentence_ids").rlike(rule_pattern(ids)), F.lit(name)) for name, ids in RULES))

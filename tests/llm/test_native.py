@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 
 import pytest
 
@@ -108,6 +109,19 @@ def test_licenses(spark):
     assert out == {1: (0, ""), 2: (0, ""), 3: (1, "Apache-2.0"), 4: (3, "MIT"), 5: (1, ""), 6: (0, "")}
 
 
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_wrapped_licenses(spark, mark):
+    texts = [(name, s) for name, s in licenses.SENTENCES.items()] + [(name, " ".join(licenses.SENTENCES[x] for x in ids)) for name, ids in licenses.RULES]
+    rows = [(k, f"{mark}Copyright of someone.\n" + textwrap.indent(textwrap.fill(t, width, break_long_words=False, break_on_hyphens=False), mark, lambda _: True) + f"\n{mark}\nint x;") for width in (40, 10_000) for k, (_, t) in enumerate(texts)]
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        if r.doc_id < len(licenses.SENTENCES):
+            assert r.sentence_ids == str(r.doc_id + 1)
+        else:
+            assert texts[r.doc_id][0] in r.licenses.split(",")
+
+
 @pytest.mark.parametrize("operator", [licenses.scan_licenses, secrets.secret_digest, pii.pii_digest, fingerprints.fingerprint_digest])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
