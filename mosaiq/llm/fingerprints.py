@@ -20,14 +20,20 @@ def word_hashes(text: Column) -> Column:
 def sketch(text: Column, bits: int = 2, words: int = 5) -> Column:
     """Sorted distinct hashes of the shingles of words words, those below 2**-bits of the range.
 
-    A text of fewer words is one shingle, which is kept whatever its hash, so
-    that short texts can be told apart; a text without words has an empty sketch.
+    A text of fewer words is one shingle, which is kept whatever its hash, and
+    a text with no hash below keeps its smallest one (as a signed number; that
+    it isn't below marks it), so that short texts can be told apart. Only a
+    text without words has an empty sketch.
     """
 
+    def below(hashes: Column) -> Column:
+        low = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 64 - bits) == 0)
+        return let(low, lambda k: F.when(F.size(k) > 0, F.array_sort(F.array_distinct(k))).otherwise(F.array(F.array_min(hashes))))
+
     def kept(w: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*(w[i + j] if j else w[i] for j in range(words))))
         return (
-            F.when(F.size(w) >= words, F.array_sort(F.array_distinct(F.filter(hashes, lambda h: F.shiftrightunsigned(h, 64 - bits) == 0) if bits else hashes)))
+            F.when(F.size(w) >= words, let(hashes, below) if bits else F.array_sort(F.array_distinct(hashes)))
             .when(F.size(w) > 0, F.array(F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: F.xxhash64(a, x))))
             .otherwise(F.array().cast("array<bigint>"))
         )

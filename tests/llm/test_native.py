@@ -102,6 +102,13 @@ def test_fingerprints(docs):
             assert by_text.setdefault(t, r.fingerprint) == r.fingerprint
 
 
+def test_short_texts_have_fingerprints(spark):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(5 + k % 6))) for k in range(60)]
+    got = fingerprints.fingerprint_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len({r.fingerprint for r in got} - {""}) == 60
+    assert all(r.near_next == 0 for r in got)
+
+
 def test_licenses(spark):
     mit = " ".join(licenses.SENTENCES[k] for k in ("mit-grant", "mit-condition", "mit-as-is"))
     rows = [(1, None), (2, ""), (3, "Foo.\nLicensed### under the  Apache License, Version 2.0.\nbar"), (4, mit), (5, licenses.SENTENCES["mit-condition"]), (6, "no license at all")]
