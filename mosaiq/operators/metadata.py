@@ -1,4 +1,4 @@
-"""Metadata reads, projections, predicates and joins."""
+"""Metadata reads, projections, predicates and joins."""
 
 from __future__ import annotations
 
