@@ -10,17 +10,17 @@ came, so positions are never sent at all.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-BLOCKS = "block bigint, ids array<bigint>, lens array<int>, data binary, rest array<string>"
 FLAGS = "block bigint, round int, bucket int, flags binary"
 SENT = "round int, bucket int, block bigint, data binary"
 #: Bytes of text in a block; a longer document is a block of its own.
@@ -29,39 +29,61 @@ BLOCK_BYTES = 1_000_000
 BUCKET_ROWS = 800_000
 
 
-def pack_blocks(docs: DataFrame, rest: Column | None = None) -> DataFrame:
-    """Blocks of docs(doc_id, text), null texts as empty ones; rest is a string to carry for each document.
+def named(column: str) -> Column:
+    """The column of this very name, whatever stands in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
-    A block's number is its task and its place there. A task that runs again
-    reads the same rows and so makes the same blocks.
+
+def pack_blocks(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """Blocks of docs(doc_id, text): block, ids and known (packed, see ids_of), lens, data; null texts count as empty ones.
+
+    doc_id is read as a whole number; what isn't one counts as null. With
+    carry, rest is an array of structs of all columns of docs but text, by
+    place (c0, c1 and so on, of their own types), and of whether text is null
+    (none). A block's number is its task and its place there. A task that
+    runs again must read the same rows in the same order, as from files.
     """
+    kept = [c for c in docs.columns if c != "text"]
+    known = F.col("doc_id").try_cast("bigint").isNotNull()
+    rest = F.struct(F.col("text").isNull().alias("none"), *(named(c).alias(f"c{k}") for k, c in enumerate(kept)))
+    rows = docs.select(F.coalesce(F.col("doc_id").try_cast("bigint"), F.lit(0)).alias("doc_id"), known.alias("known"), F.coalesce("text", F.lit("")).alias("text"), *([rest.alias("rest")] if carry else []))
 
-    carried = rest is not None
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, k, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            text, ids, is_known = batch.column("text").cast(pa.large_binary()), batch.column("doc_id").to_numpy(), batch.column("known").to_numpy(zero_copy_only=False)
+            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            raw, a = memoryview(text.buffers()[2] or b""), 0
+            while a < len(text):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + BLOCK_BYTES, side="right")) - 1)
+                lens = np.diff(ends[a : b + 1]).astype(np.int32)
+                columns = [pa.array([(task << 32) + k], pa.int64()), pa.array([ids[a:b].tobytes()], pa.binary()), pa.array([is_known[a:b].tobytes()], pa.binary()), pa.array([lens], pa.list_(pa.int32())), pa.array([press.compress(raw[ends[a] : ends[b]])], pa.binary())]
+                if carry:
+                    columns.append(one_list(batch.column("rest").slice(a, b - a)))
+                yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "known", "lens", "data", "rest"][: len(columns)])
+                a, k = b, k + 1
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, k, ids, texts, rests, size = TaskContext.get().partitionId(), 0, [], [], [], 0
-        press = zstandard.ZstdCompressor(level=3)
+    packed = StructType().add("block", "long").add("ids", "binary").add("known", "binary").add("lens", ArrayType(IntegerType())).add("data", "binary")
+    return rows.mapInArrow(pack, packed.add("rest", ArrayType(rows.schema["rest"].dataType)) if carry else packed)
 
-        def block() -> pd.DataFrame:
-            return pd.DataFrame({"block": [(task << 32) + k], "ids": [ids], "lens": [[len(t) for t in texts]], "data": [press.compress(b"".join(texts))], "rest": [rests]})
 
-        for batch in batches:
-            for i, known, text, other in zip(batch["doc_id"].tolist(), batch["known"].tolist(), batch["text"], batch["rest"] if carried else repeat(None)):  # noqa: B905
-                raw = text.encode()
-                if texts and size + len(raw) > BLOCK_BYTES:
-                    yield block()
-                    k, ids, texts, rests, size = k + 1, [], [], [], 0
-                ids.append(int(i) if known else None)
-                texts.append(raw)
-                if carried:
-                    rests.append(other)
-                size += len(raw)
-        if texts:
-            yield block()
-
-    known = F.col("doc_id").isNotNull()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc_id"), known.alias("known"), F.coalesce("text", F.lit("")).alias("text"), *([rest.alias("rest")] if rest is not None else []))
-    return rows.mapInPandas(pack, BLOCKS)
+def unpack_rest(done: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
+    """The columns of docs from done(text, rest), and then more columns of done; texts that were null are null again."""
+    kept = [c for c in docs.columns if c != "text"]
+    text = F.when(~F.col("rest.none"), F.col("text"))
+    return done.select(*(text.alias("text") if c == "text" else F.col(f"rest.c{kept.index(c)}").alias(c) for c in docs.columns), *more)
+
+
+def one_list(values: pa.Array) -> pa.Array:
+    """An array of one list, which holds values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def ids_of(row: Mapping) -> pd.api.extensions.ExtensionArray:
+    """The ids of a block's documents, null where they are unknown."""
+    return pd.arrays.IntegerArray(np.frombuffer(row["ids"], np.int64).copy(), ~np.frombuffer(row["known"], bool))
 
 
 def unpack(data: bytes) -> bytes:
@@ -116,22 +138,49 @@ def received(flags: pd.DataFrame, round_: int, choice: np.ndarray, buckets: int)
     return out
 
 
-def judge(sent: DataFrame, width: int, verdict: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def repeated_or_first(order: np.ndarray, new: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """0: the only one of its value; 1: repeated; 2: the first of those repeated."""
+    out = np.zeros(len(order), np.uint8)
+    out[order] = np.repeat(counts > 1, counts)
+    out[order[new]] *= 2
+    return out
+
+
+class Distinct:
+    """The distinct values of a block's fingerprints, which are sent once each, and the flags of all of them."""
+
+    def __init__(self, values: np.ndarray, choice: np.ndarray) -> None:
+        self.values, self.at, self.of, self.times = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+        self.choice = choice[self.at]
+
+    def flags(self, flags: pd.DataFrame, round_: int, buckets: int) -> np.ndarray:
+        """What repeated_or_first says of each fingerprint, counting those of other blocks and of this one."""
+        found = received(flags, round_, self.choice, buckets)
+        alone = (found == 0) & (self.times > 1)
+        out = ((found > 0) | alone)[self.of].astype(np.uint8)
+        out[self.at[(found == 2) | alone]] = 2
+        return out
+
+
+def judge(sent: DataFrame, width: int | dict[int, int], verdict: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """Sorts one bucket at a time; verdict gives a byte to each fingerprint.
 
     verdict gets the order that sorts the bucket (equal ones by block and
     place), whether each sorted one begins a new value, and how often each
-    value occurs.
+    value occurs. A block sends a value once, so one that stands everywhere
+    comes once for each block. width is the bytes of a fingerprint, by round
+    where rounds differ.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block")
-        values = widen(b"".join(rows["data"]), width)
+        size = width if isinstance(width, int) else width[int(rows["round"].iloc[0])]
+        values = widen(b"".join(rows["data"]), size)
         order = np.argsort(values, kind="stable")
         ranked = values[order]
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
         flags = verdict(order, new, np.diff(np.append(np.flatnonzero(new), len(new))))
-        ends = np.cumsum([len(d) // width for d in rows["data"]])
+        ends = np.cumsum([len(d) // size for d in rows["data"]])
         press = zstandard.ZstdCompressor(level=1)
         parts = [press.compress(flags[a:e].tobytes()) for a, e in zip([0, *ends[:-1]], ends)]  # noqa: B905
         return pd.DataFrame({"block": rows["block"].to_numpy(), "round": rows["round"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "flags": parts})

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mosaiq.llm import packed
 from mosaiq.llm.components import components
@@ -162,17 +163,8 @@ def link_sets(sets: list[np.ndarray], percent: int, apart: np.ndarray | None = N
     return root
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of docs(doc_id, text).
-
-    Two documents link when 100 |A and B| >= percent |A or B| for their sets of
-    shingles of words words; component_id is the smallest doc_id reachable.
-    Null and empty texts, and texts without words, have no shingles and link
-    with nothing: their own id is their component. Null ids are never the
-    smallest unless a component has no other. Repeated rows each get a row.
-    """
-    blocks = packed.pack_blocks(docs)
-    total = packed.text_bytes(docs)
+def set_classes(blocks: DataFrame, total: int, percent: int = 80, words: int = 5) -> DataFrame:
+    """(block, place, doc_id, n_shingles, root): root is the same for the documents of a component, null without words."""
     buckets = packed.bucket_count(total / 7)
 
     def block_set(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +195,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5) -> Da
             chosen = (rank < sized - -(-percent * sized // 100) + 1) & (level[order] > 0)
             h_chosen, of = h[order][chosen].view(np.int64), doc[chosen]
             ends = np.searchsorted(of, np.arange(len(sizes)), side="right")
-            for d, (i, n, s) in enumerate(zip(row["ids"], sizes.tolist(), start.tolist())):  # noqa: B905
+            for d, (i, n, s) in enumerate(zip(packed.ids_of(row), sizes.tolist(), start.tolist())):  # noqa: B905
                 out.append((int(row["block"]), d, i, n, set_key(h[s : s + n]) if n else None, h_chosen[ends[d - 1] if d else 0 : ends[d]]))
         frame = pd.DataFrame(out, columns=["block", "place", "doc_id", "n", "node", "entries"])
         frame["doc_id"] = frame["doc_id"].astype("Int64")
@@ -249,15 +241,43 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5) -> Da
     linked = links.filter("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
     if not links.filter("not whole").isEmpty():
         linked = linked.union(components(links.filter("not whole").select("a", "b")))
-    rooted = table.join(linked.filter("node <> root"), "node", "left").select("block", "place", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
+    return table.join(linked.filter("node <> root"), "node", "left").select("block", "place", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of docs(doc_id, text).
+
+    Two documents link when 100 |A and B| >= percent |A or B| for their sets of
+    shingles of words words; component_id is the smallest doc_id reachable.
+    Null and empty texts, and texts without words, have no shingles and link
+    with nothing: their own id is their component. Null ids are never the
+    smallest unless a component has no other. Repeated rows each get a row.
+    doc_id is read as a whole number, what isn't one as null.
+    """
+    rooted = set_classes(packed.pack_blocks(docs), packed.text_bytes(docs), percent, words)
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component; of rows with the same id and component, one."""
-    groups = jaccard_components(docs, percent, words)
-    stay = groups.filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("kept")).distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    found = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    return found.withColumn("nth", F.row_number().over(one)).filter("nth = 1 or doc_id is null").drop("nth")
+    """docs with one row of each component: that of the smallest id, nulls last, and of equal ids the first read.
+
+    Rows without words are components of their own and stay, as they are.
+    Columns keep their names, order and types, whatever they are called.
+    """
+    blocks = packed.pack_blocks(docs, carry=True)
+    rooted = set_classes(blocks.drop("rest"), packed.text_bytes(docs), percent, words).filter("root is not null")
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "block", "place")
+    firsts = rooted.groupBy("root").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    gone = rooted.join(firsts, "root").filter(at != F.col("first")).select("block", "place")
+
+    def strip(left: pa.Table, right: pa.Table) -> pa.Table:
+        stay = np.ones(len(left["rest"].combine_chunks().flatten()), bool)
+        stay[right["place"].to_numpy()] = False
+        texts = [t for row in left.drop_columns("rest").to_pylist() for t in texts_of(row)]
+        mask = pa.array(stay)
+        return pa.table({"text": pa.array(texts, pa.binary()).filter(mask).cast(pa.string()), "rest": left["rest"].combine_chunks().flatten().filter(mask)})
+
+    fields = StructType().add("text", "string").add("rest", blocks.schema["rest"].dataType.elementType)
+    done = blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(strip, fields)
+    return packed.unpack_rest(done, docs)

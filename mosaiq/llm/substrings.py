@@ -3,8 +3,9 @@
 Two suffixes that share their first 400 bytes share, at some distance below
 the cover's period, sampled suffixes that agree as far. So:
 
-1. every sampled suffix (12 of 133) is ranked by its first 268 bytes; a suffix
-   with no repeated sample in its first 133 bytes can't be repeated;
+1. every sampled suffix (12 of 133) is ranked by its first bytes, 150 of them; a
+   suffix with no repeated sample in its first 133 bytes can't be repeated, and
+   a string of 282 bytes that stands anywhere else has one;
 2. repeated samples are ranked by their first 532 bytes; a tie there settles
    the 133 suffixes that begin in the sample's period, whose order the cover
    ranks give without comparing them again. One sample of each class stays to
@@ -60,7 +61,7 @@ class Text:
 
     def __init__(self, row: pd.Series) -> None:
         self.block = int(row["block"])
-        self.ids, self.lens = list(row["ids"]), np.asarray(row["lens"], np.int64)
+        self.ids, self.lens = packed.ids_of(row), np.asarray(row["lens"], np.int64)
         self.raw = np.frombuffer(packed.unpack(row["data"]), np.uint8)
         self.ends = np.cumsum(self.lens)
         self.starts = self.ends - self.lens
@@ -93,31 +94,31 @@ class Text:
 class Search:
     """What a block sends in each round, and finds from what came back."""
 
-    def __init__(self, length: int, total: int) -> None:
-        if length < 2 * PERIOD:
-            raise ValueError(f"length must be {2 * PERIOD} at least")
-        self.length = length
-        self.short, self.long = length - PERIOD + 1, length + PERIOD - 1
+    def __init__(self, length: int, short: int, total: int) -> None:
+        if not 0 < short <= length - PERIOD + 1:
+            raise ValueError(f"short must be between 1 and length - {PERIOD - 1}")
+        self.length, self.short, self.long = length, short, length + PERIOD - 1
         share = len(COVER) / PERIOD
         self.buckets = (packed.bucket_count(total * share), packed.bucket_count(total * share / 2), packed.bucket_count(total / 4))
 
-    def _sample(self, t: Text) -> tuple[np.ndarray, np.ndarray]:
+    def _sample(self, t: Text) -> tuple[np.ndarray, packed.Distinct]:
         at = t.samples(self.short)
-        return at, t.windows(at, self.short, 1)
+        return at, packed.Distinct(t.windows(at, self.short, 0), t.windows(at, self.short, 1))
 
-    def _repeated(self, t: Text, flags: pd.DataFrame) -> np.ndarray:
-        at, choice = self._sample(t)
-        return at[packed.received(flags, 0, choice, self.buckets[0]) > 0]
+    def repeated(self, t: Text, flags: pd.DataFrame) -> np.ndarray:
+        """Places of the samples whose first short bytes begin anywhere else too."""
+        at, sent = self._sample(t)
+        return at[sent.flags(flags, 0, self.buckets[0]) > 0]
 
-    def _long(self, t: Text, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _long(self, t: Text, repeated: np.ndarray) -> tuple[np.ndarray, packed.Distinct]:
         ends = t.ends[np.searchsorted(t.ends, repeated, side="right")] if len(repeated) else repeated
         at = repeated[repeated + self.long <= ends]
-        return at, t.windows(at, self.long, 1)
+        return at, packed.Distinct(t.windows(at, self.long, 0), t.windows(at, self.long, 1))
 
-    def _open(self, t: Text, repeated: np.ndarray, flags: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places whose suffixes are sorted, their second hashes, and a mask of the places settled before."""
-        at, choice = self._long(t, repeated)
-        ties = packed.received(flags, 1, choice, self.buckets[1])
+    def _open(self, t: Text, repeated: np.ndarray, flags: pd.DataFrame) -> tuple[np.ndarray, packed.Distinct, np.ndarray]:
+        """Places whose suffixes are sorted, their fingerprints, and a mask of the places settled before."""
+        at, sent = self._long(t, repeated)
+        ties = sent.flags(flags, 1, self.buckets[1])
         settled = t.marked(at[ties > 0], PERIOD)
         standing = t.marked(at[ties > 1], PERIOD)
         near = np.zeros(len(t.raw) + 1, np.int32)
@@ -127,47 +128,42 @@ class Search:
         for e, n in zip(t.ends.tolist(), t.lens.tolist()):  # noqa: B905
             candidate[max(e - n, e - self.length + 1) : e] = False
         places = np.flatnonzero((candidate & ~settled) | standing)
-        return places, t.windows(places, self.length, 1), settled
+        return places, packed.Distinct(t.windows(places, self.length, 0), t.windows(places, self.length, 1)), settled
+
+    def _send(self, t: Text, round_: int, sent: packed.Distinct, width: int) -> list[tuple]:
+        return packed.send(t.block, round_, sent.values, sent.choice, self.buckets[round_], width)
 
     def first(self, t: Text) -> list[tuple]:
-        at, choice = self._sample(t)
-        return packed.send(t.block, 0, t.windows(at, self.short, 0), choice, self.buckets[0], NOMINATE)
+        return self._send(t, 0, self._sample(t)[1], NOMINATE)
 
     def second(self, t: Text, flags: pd.DataFrame) -> list[tuple]:
-        at, choice = self._long(t, self._repeated(t, flags))
-        return packed.send(t.block, 1, t.windows(at, self.long, 0), choice, self.buckets[1], DECIDE)
+        return self._send(t, 1, self._long(t, self.repeated(t, flags))[1], DECIDE)
 
     def third(self, t: Text, flags: pd.DataFrame) -> list[tuple]:
-        places, choice, _ = self._open(t, self._repeated(t, flags), flags)
-        return packed.send(t.block, 2, t.windows(places, self.length, 0), choice, self.buckets[2], DECIDE)
+        return self._send(t, 2, self._open(t, self.repeated(t, flags), flags)[1], DECIDE)
 
-    def repeats(self, t: Text, flags: pd.DataFrame) -> np.ndarray:
+    def repeats(self, t: Text, repeated: np.ndarray, flags: pd.DataFrame) -> np.ndarray:
         """A mask of the bytes that repeated strings cover."""
-        places, choice, settled = self._open(t, self._repeated(t, flags), flags)
+        places, sent, settled = self._open(t, repeated, flags)
         starts = settled
-        starts[places[packed.received(flags, 2, choice, self.buckets[2]) > 0]] = True
+        starts[places[sent.flags(flags, 2, self.buckets[2]) > 0]] = True
         return t.marked(np.flatnonzero(starts), self.length)
 
 
-def _repeated_or_first(order: np.ndarray, new: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """0: the only one of its value; 1: repeated; 2: the first of those repeated."""
-    out = np.zeros(len(order), np.uint8)
-    out[order] = np.repeat(counts > 1, counts)
-    out[order[new]] *= 2
-    return out
-
-
-def remove_repeats(docs: DataFrame, length: int = 400, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, short: int = 150, texts: bool = False) -> DataFrame:
     """Removes every byte that a string of length bytes covers which starts anywhere else too.
 
     Texts are UTF-8 bytes, null ones empty; matches never cross documents, may
     overlap, and are judged on the input. (doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256), one row per row of docs(doc_id, text), and with texts also
-    kept: what remains, as binary, since it needn't be UTF-8. Documents
+    kept_sha256, n_short), one row per row of docs(doc_id, text), and with
+    texts also kept: what remains, as binary, since it needn't be UTF-8.
+    n_short counts the sampled strings of short bytes that stand anywhere else
+    too; it tells of passages that are too short to be removed. Documents
     shorter than length stay whole. Repeated rows are repeats of each other.
+    doc_id is read as a whole number, what isn't one as null.
     """
     blocks = packed.pack_blocks(docs)
-    search = Search(length, packed.text_bytes(docs))
+    search = Search(length, short, packed.text_bytes(docs))
 
     def first(batches):  # noqa: ANN001, ANN202
         for batch in batches:
@@ -185,21 +181,23 @@ def remove_repeats(docs: DataFrame, length: int = 400, texts: bool = False) -> D
         rows = []
         for _, row in left.iterrows():
             t = Text(row)
-            gone = search.repeats(t, flags)
-            for i, s, e in zip(t.ids, t.starts.tolist(), t.ends.tolist()):  # noqa: B905
+            repeated = search.repeated(t, flags)
+            gone = search.repeats(t, repeated, flags)
+            short = np.diff(np.searchsorted(repeated, np.append(t.starts, len(t.raw)))).tolist()
+            for i, s, e, r in zip(t.ids, t.starts.tolist(), t.ends.tolist(), short):  # noqa: B905
                 m = gone[s:e]
                 kept = t.raw[s:e][~m].tobytes()
                 spans = int(np.count_nonzero(m[1:] & ~m[:-1]) + bool(len(m) and m[0]))
-                rows.append((i, e - s, int(m.sum()), spans, hashlib.sha256(kept).hexdigest(), *([kept] if texts else [])))
-        frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])])
+                rows.append((i, e - s, int(m.sum()), spans, hashlib.sha256(kept).hexdigest(), r, *([kept] if texts else [])))
+        frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_short", *(["kept"] if texts else [])])
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         return frame
 
     def with_flags(flags: DataFrame, step, schema: str) -> DataFrame:  # noqa: ANN001
         return blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInPandas(step, schema)
 
-    ranks = packed.judge(blocks.mapInPandas(first, packed.SENT), NOMINATE, _repeated_or_first)
-    ties = packed.judge(with_flags(ranks, later(search.second), packed.SENT), DECIDE, _repeated_or_first)
+    ranks = packed.judge(blocks.mapInPandas(first, packed.SENT), NOMINATE, packed.repeated_or_first)
+    ties = packed.judge(with_flags(ranks, later(search.second), packed.SENT), DECIDE, packed.repeated_or_first)
     known = ranks.unionByName(ties)
-    sorted_ = packed.judge(with_flags(known, later(search.third), packed.SENT), DECIDE, _repeated_or_first)
-    return with_flags(known.unionByName(sorted_), finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * texts)
+    sorted_ = packed.judge(with_flags(known, later(search.third), packed.SENT), DECIDE, packed.repeated_or_first)
+    return with_flags(known.unionByName(sorted_), finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_short bigint" + ", kept binary" * texts)
