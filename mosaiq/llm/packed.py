@@ -49,7 +49,7 @@ def pack_blocks(docs: DataFrame, carry: bool = False) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").try_cast("bigint"), F.lit(0)).alias("doc_id"), known.alias("known"), F.coalesce("text", F.lit("")).alias("text"), *([rest.alias("rest")] if carry else []))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, k, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
+        task, k, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -162,27 +162,62 @@ class Distinct:
         return out
 
 
-def judge(sent: DataFrame, width: int | dict[int, int], verdict: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Sorts one bucket at a time; verdict gives a byte to each fingerprint.
+Verdict = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def judged(rows: pd.DataFrame, width: int, verdict: Verdict) -> pd.DataFrame:
+    """FLAGS for the rows of one bucket: it is sorted, and verdict gives a byte to each fingerprint.
 
     verdict gets the order that sorts the bucket (equal ones by block and
     place), whether each sorted one begins a new value, and how often each
-    value occurs. A block sends a value once, so one that stands everywhere
-    comes once for each block. width is the bytes of a fingerprint, by round
-    where rounds differ.
+    value occurs. width is the bytes of a fingerprint.
     """
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        size = width if isinstance(width, int) else width[int(rows["round"].iloc[0])]
-        values = widen(b"".join(rows["data"]), size)
-        order = np.argsort(values, kind="stable")
-        ranked = values[order]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        flags = verdict(order, new, np.diff(np.append(np.flatnonzero(new), len(new))))
-        ends = np.cumsum([len(d) // size for d in rows["data"]])
-        press = zstandard.ZstdCompressor(level=1)
-        parts = [press.compress(flags[a:e].tobytes()) for a, e in zip([0, *ends[:-1]], ends)]  # noqa: B905
-        return pd.DataFrame({"block": rows["block"].to_numpy(), "round": rows["round"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "flags": parts})
-
-    return sent.groupBy("round", "bucket").applyInPandas(one, FLAGS)
+    rows = rows.sort_values("block")
+    values = widen(b"".join(rows["data"]), width)
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    flags = verdict(order, new, np.diff(np.append(np.flatnonzero(new), len(new))))
+    ends = np.cumsum([len(d) // width for d in rows["data"]])
+    press = zstandard.ZstdCompressor(level=1)
+    parts = [press.compress(flags[a:e].tobytes()) for a, e in zip([0, *ends[:-1]], ends)]  # noqa: B905
+    return pd.DataFrame({"block": rows["block"].to_numpy(), "round": rows["round"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "flags": parts})
+
+
+def judge(sent: DataFrame, width: int, verdict: Verdict) -> DataFrame:
+    """FLAGS for SENT, one bucket at a time. A block sends a value once, so one that stands everywhere comes once for each block."""
+    return sent.groupBy("round", "bucket").applyInPandas(lambda rows: judged(rows, width, verdict), FLAGS)
+
+
+def send_owned(block: int, round_: int, values: np.ndarray, owner: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows of SENT for hashes and their owners in the block; a value goes as six bytes, an owner as four planes of one."""
+    order, ends = by_bucket(mix(values), buckets)
+    values, owner = values[order], owner[order].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return [(round_, b, block, narrow(values[a:e], 6) + owner[a:e].T.tobytes()) for b, (a, e) in enumerate(zip([0, *ends[:-1]], ends)) if e > a]  # noqa: B905
+
+
+def shared(rows: pd.DataFrame) -> pd.DataFrame:
+    """FLAGS that hold, for each block, the owners of values with several owners, and a token for each such value."""
+    blocks, bucket = rows["block"].to_numpy(), int(rows["bucket"].iloc[0])
+    sizes = np.array([len(d) // 10 for d in rows["data"]])
+    values = np.concatenate([widen(d[: 6 * n], 6) for d, n in zip(rows["data"], sizes.tolist())])  # noqa: B905
+    order = np.argsort(values)
+    new = np.concatenate([[True], values[order][1:] != values[order][:-1]])
+    several = np.zeros(len(values), bool)
+    counts = np.diff(np.append(np.flatnonzero(new), len(new)))
+    several[order] = np.repeat(counts > 1, counts)
+    tokens, out, press, at = mix(values ^ mix(np.full(1, bucket + 1, np.uint64))), [], zstandard.ZstdCompressor(level=1), 0
+    for block, d, n in zip(blocks.tolist(), rows["data"], sizes.tolist()):  # noqa: B905
+        use = several[at : at + n]
+        if use.any():
+            owner = np.ascontiguousarray(np.frombuffer(d[6 * n :], np.uint8).reshape(4, n).T).view("<u4").ravel()[use]
+            out.append((block, int(rows["round"].iloc[0]), bucket, press.compress(owner.tobytes() + tokens[at : at + n][use].tobytes())))
+        at += n
+    return pd.DataFrame(out, columns=["block", "round", "bucket", "flags"])
+
+
+def received_owned(flags: pd.DataFrame, round_: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, token) of what shared found for a block."""
+    found = [unpack(x) for x in flags["flags"][flags["round"] == round_]]
+    parts = [(np.frombuffer(x[: len(x) // 3], "<u4"), np.frombuffer(x[len(x) // 3 :], np.uint64)) for x in found]
+    return (np.concatenate([o for o, _ in parts]).astype(np.int64), np.concatenate([t for _, t in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
