@@ -94,7 +94,17 @@ def known_pattern() -> str:
     return r"\|(?:" + "|".join(s.replace(" ", "[ |]") for s in sorted(known(), key=len, reverse=True)) + r")(?=\|)"
 
 
+def follows(sentences: Column, ids: list[str]) -> Column:
+    """Whether the sentences of a rule stand in this order in an array of identifiers: a count of those met so far."""
+    wanted = [NAMES.index(x) + 1 for x in ids]
+    if len(wanted) == 1:
+        return F.array_contains(sentences, wanted[0])
+    table = F.array(*map(F.lit, [*wanted, 0]))
+    return F.aggregate(sentences, F.lit(0), lambda met, x: met + F.when(F.element_at(table, met + 1) == x, 1).otherwise(0)) == len(wanted)
+
+
 def rule_pattern(ids: list[str]) -> str:
+    """The same for SQL, over identifiers joined by commas."""
     return ",".join(["(^|,)" + str(NAMES.index(ids[0]) + 1), *("([0-9]+,)*" + str(NAMES.index(x) + 1) for x in ids[1:])]) + "(,|$)"
 
 
@@ -109,10 +119,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     ids = F.transform(F.regexp_extract_all(marked(text), F.lit(known_pattern()), F.lit(0)), lambda s: F.element_at(table, F.trim(F.translate(s, "|", " "))))
     found = docs.select("doc_id", F.when(F.lower(text).rlike(ANCHORS), ids).otherwise(F.array().cast("array<int>")).alias("ids"))
-    seq = found.select("doc_id", F.size("ids").cast("bigint").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"))
-    hits = F.array(*(F.when(F.col("sentence_ids").rlike(rule_pattern(ids)), F.lit(name)) for name, ids in RULES))
+    hits = F.array(*(F.when(follows(F.col("ids"), ids), F.lit(name)) for name, ids in RULES))
     licenses = F.array_join(F.array_sort(F.array_distinct(F.array_compact(hits))), ",")
-    return seq.select("*", F.when(F.col("n_sentences") > 0, licenses).otherwise("").alias("licenses"))
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.when(F.size("ids") > 0, licenses).otherwise("").alias("licenses"))
 
 
 def licenses_sql() -> str:

@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.llm.lineage import cut
-from mosaiq.llm.spans import SPAN, count_kind, find_spans, joined
+from mosaiq.llm.spans import SPAN, count_kind, find_spans, joined, let, near_ones, with_bounds
 
 KINDS = ["email", "ip", "card", "phone", "context"]
-# The base patterns. Possessive parts and the anchors only keep a long run from being read again and again.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# The base patterns. Possessive parts and the anchors only keep a long run from being read again and again, or its repeats from nesting calls.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 BYTES = rf"^{BYTE}(?:\.{BYTE}){{3}}$"
-#: A word without digits, then a token with one: the context and the instance of the extraction graph.
-CONTEXT = r"(?<!\S)[^\s0-9]{1,60}+\x20[^\s0-9]*+[0-9]\S*+"
+#: A word without digits, then a token with a digit or an @ and the groups of digits that go on from it: the context and the instance of the extraction graph.
+CONTEXT = r"(?<!\S)[^\s0-9]{1,60}+\x20[^\s0-9@]*+[0-9@]\S*+(?:\x20\(?[0-9]\S*+)*+"
 
 
 def digits(m: Column) -> Column:
@@ -70,21 +70,28 @@ def score_patterns(edges: DataFrame, rounds: int = 2) -> DataFrame:
 def extract_pii(docs: DataFrame, least_conf: float = 0.6, least_support: int = 8, rounds: int = 2) -> DataFrame:
     """(doc_id, base, extra): base spans of the fixed patterns, extra spans that high-confidence contexts found.
 
-    A context is the lower-cased word before a token with digits. Contexts
-    whose tokens are seeds (base entities) to least_conf at least, with
-    least_support different seeds, mark their other tokens too. Null and empty
-    texts have no spans. Repeated rows each get the same spans.
+    A context is the lower-cased word before a token with digits or an @, and
+    the groups of digits that follow a token belong to it. Contexts whose
+    tokens are seeds (base entities) to least_conf at least, with
+    least_support different seeds, mark their other tokens too. Tokens of
+    letters alone are no instances. Null and empty texts have no spans.
+    Repeated rows each get the same spans.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("h"), base_spans(text).alias("base"), find_spans(text, CONTEXT, 4, text.rlike("[0-9]")).alias("ctx"))
-    word = F.regexp_replace(F.lower(F.substring_index("c.m", " ", 1)), r"[^\p{L}@]", "")
-    token = F.substring_index("c.m", " ", -1)
-    seed_of = lambda c: F.get(F.filter("base", lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"] + F.length(F.substring_index(c["m"], " ", 1)))), 0)["m"]
-    seeded = F.transform("ctx", lambda c: F.struct(c.alias("c"), seed_of(c).alias("of")))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("h"), base_spans(text).alias("base"), find_spans(text, CONTEXT, 4, text.rlike("[0-9@]")).alias("ctx"))
+    first = F.substring_index("c.m", " ", 1)
+    word = F.regexp_replace(F.lower(first), r"[^\p{L}@]", "")
+    token = F.substring(F.col("c.m"), F.length(first) + 2, F.length("c.m"))
+
+    def seed_of(bounded: Column, c: Column) -> Column:
+        start = c["s"] + F.length(F.substring_index(c["m"], " ", 1)) + 1
+        return F.get(F.filter(near_ones(bounded, start, c["e"]), lambda b: (b["s"] < c["e"]) & (b["e"] > start)), 0)["m"]
+
+    seeded = let(with_bounds(F.col("base")), lambda bounded: F.transform("ctx", lambda c: F.struct(c.alias("c"), seed_of(bounded, c).alias("of"))))
     found = (
         rows.filter(F.size("ctx") > 0)
         .select("doc_id", "h", F.inline(seeded))
-        .select("doc_id", "h", "of", (F.col("c.s") + F.length(F.substring_index("c.m", " ", 1)) + 1).alias("s"), F.col("c.e").alias("e"), word.alias("pattern"), token.alias("token"))
+        .select("doc_id", "h", "of", (F.col("c.s") + F.length(first) + 1).alias("s"), F.col("c.e").alias("e"), word.alias("pattern"), token.alias("token"))
         .filter(F.col("pattern") != "")
         .withColumns({"instance": F.xxhash64(F.coalesce("of", "token")), "seed": F.col("of").isNotNull().cast("int")})
     )

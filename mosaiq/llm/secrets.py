@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.spans import SPAN, count_kind, find_spans, joined, let
+from mosaiq.llm.spans import SPAN, count_kind, find_spans, joined, let, near_ones, with_bounds
 
 KINDS = ["assign", "access", "hex", "secret_part", "endpoint"]
 # The base patterns.
@@ -17,14 +17,13 @@ SECRET_PART = r"(?<![A-Za-z0-9+/=_-])(?:[A-Za-z0-9+/]{40}|[A-Za-z0-9+/]{64})(?![
 ENDPOINT = r"(?i:https?|s3|ftp|jdbc|postgres|mysql|mongodb)://[A-Za-z0-9._~:/?#@!$&'*+;=%-]{4,}+|(?i:endpoint|host|server|region|bucket)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._:/-]{4,}+"
 
 
-def _within(a: Column, b: Column, window: int) -> Column:
-    """The intervals lie in one scope: at most window code points apart."""
-    return (a["s"] - F.lit(window) <= b["e"]) & (b["s"] - F.lit(window) <= a["e"])
-
-
 def link_parts(strong: Column, weak: Column, window: int) -> Column:
-    """Weak spans within window of any strong one that they don't overlap: an interval join inside the row."""
-    return F.filter(weak, lambda w: F.exists(strong, lambda a: _within(a, w, window) & ((a["e"] <= w["s"]) | (w["e"] <= a["s"]))))
+    """Weak spans within window of any strong one that they don't overlap: an interval join inside the row.
+
+    The strong spans lie in parts with bounds, so that a weak one is compared
+    with those of the parts in its scope only.
+    """
+    return let(with_bounds(strong), lambda parts: F.filter(weak, lambda w: F.exists(near_ones(parts, w["s"], w["e"], window), lambda a: (a["e"] <= w["s"]) | (w["e"] <= a["s"]))))
 
 
 def scan_secrets(docs: DataFrame, window: int = 400) -> DataFrame:

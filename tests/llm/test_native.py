@@ -1,6 +1,7 @@
 """The native scans against plain Python on the small tables and on awkward texts."""
 
 import hashlib
+import random
 import re
 import textwrap
 
@@ -72,6 +73,48 @@ def test_contexts_find_unseen(spark):
     assert out[99] == "context:11:22" and out[100] == ""
 
 
+def test_contexts_take_addresses_and_groups(spark):
+    seeds = [(i, f"write jane.{'abcdefgh'[i % 8] * (1 + i // 8)}@example.com now") for i in range(40)] + [(100 + i, f"call +1 415 555 {1000 + i} now") for i in range(20)]
+    rows = [*seeds, (200, "write jane@localhost soon"), (201, "call 415 555 1234 soon"), (202, "see jane@localhost")]
+    out = {r.doc_id: r.spans for r in pii.pii_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert (out[200], out[201], out[202]) == ("context:6:20", "context:5:17", "")
+
+
+def test_many_matches_in_one_text(spark):
+    """Long texts of matches: the work grows in proportion, and no pattern nests a call for each repeat."""
+    texts = ["a@b" + ".c" * 20_000, "ab@cd.ef " * 100_000, "+1 415 555 1234, " * 20_000]
+    got = sorted((r.doc_id, r.n_email, r.n_phone, r.base_sha256) for r in pii.pii_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+    assert got == [(i, sum(k == 0 for _, k, _ in base_pii(t)), sum(k == 3 for _, k, _ in base_pii(t)), digest(spell(base_pii(t), pii.KINDS))) for i, t in enumerate(texts)]
+    text = ("AKIA" + "A1" * 8 + " " + "aB3/" * 10 + " token=abcdefgh1 https://db.example.com/x\n") * 5000
+    (row,) = secrets.secret_digest(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert (row.n_access, row.n_assign, row.base_sha256) == (5000, 5000, digest(spell(base_secrets(text), secrets.KINDS))) and len(row.spans.split(",")) == 20_000
+    text = (licenses.SENTENCES["mit-grant"] + "\n") * 20_001 + licenses.SENTENCES["mit-condition"] + "\n" + licenses.SENTENCES["mit-as-is"]
+    (row,) = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert (row.n_sentences, row.licenses) == (20_003, "MIT")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_linked_parts_against_all_pairs(spark, seed):
+    """Weak parts by plain comparison of all spans of a text."""
+    r = random.Random(seed)
+    piece = lambda: r.choice(["AKIA" + "B2" * 8, "aB3/" * 10, "https://db.example.com/x", "token=abcdefgh1", "word " * r.randrange(60)])
+    texts = [" ".join(piece() for _ in range(r.randrange(400))) for _ in range(12)]
+    got = {row.doc_id: row.spans for row in secrets.secret_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, t in enumerate(texts):
+        base = base_secrets(t)
+        near = lambda a, s, e: a[0] - 400 <= e and s - 400 <= a[2] and (a[2] <= s or e <= a[0])
+        weak = [(m.start(), 3, m.end()) for m in re.finditer(r"(?<!\S)(aB3/){10}(?!\S)", t)] + [(m.start(), 4, m.end()) for m in re.finditer(r"https://\S+", t)]
+        linked = [w for w in weak if any(near(a, w[0], w[2]) for a in base if a[1] == 1 or w[1] == 4)]
+        assert got[i] == spell(base + linked, secrets.KINDS)
+
+
+def test_clashing_and_repeated(spark):
+    rows = [(1, "SPDX-License-Identifier: MIT", "x", 1, 2)] * 3 + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, n_sentences int, base int")
+    assert sorted(r.licenses for r in licenses.scan_licenses(df).collect()) == ["", "MIT", "MIT", "MIT"]
+    assert secrets.secret_digest(df).count() == pii.pii_digest(df).count() == fingerprints.fingerprint_digest(df).count() == 4
+
+
 def sketch(t):
     words = [w for w in re.split("[ \t-\r]+", (t or "").lower()) if w]
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
