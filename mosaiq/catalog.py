@@ -2,5 +2,5 @@
 
 from mosaiq.operators import compositing, diffing, documents, hierarchy, metadata, pixels, planning, statistics, tiling  # noqa: F401
 from mosaiq.registry import ORACLES, QUERIES  # noqa: F401
-from mosaiq.sources import queries, readers  # noqa: F401
+from mosaiq.sources import queries, readers, regions  # noqa: F401
 from mosaiq.streaming import sessions  # noqa: F401
