@@ -74,10 +74,9 @@ def overlapping_rects(left: DataFrame, right: DataFrame, tile: int = 256) -> Dat
     return pairs.filter(meet).filter(f"tx = greatest(l_x, r_x) div {tile} AND ty = greatest(l_y, r_y) div {tile}")
 
 
-@query("j10_rect_overlap", f"WITH {RECTS_SQL}, l AS (SELECT * FROM rects WHERE rect_id % 2 = 0), r AS (SELECT * FROM rects WHERE rect_id % 10 = 1) SELECT l.rect_id AS l_rect_id, count(*) AS n, CAST(sum(r.rect_id) AS BIGINT) AS ids FROM l JOIN r ON l.x < r.x + r.w AND r.x < l.x + l.w AND l.y < r.y + r.h AND r.y < l.y + l.h GROUP BY l.rect_id")
+@query("j10_rect_overlap", f"WITH {RECTS_SQL} SELECT l.rect_id AS l_rect_id, count(*) AS n, CAST(sum(r.rect_id) AS BIGINT) AS ids FROM rects l JOIN rects r ON l.x < r.x + r.w AND r.x < l.x + l.w AND l.y < r.y + r.h AND r.y < l.y + l.h GROUP BY l.rect_id")
 def j10(t: Tables) -> DataFrame:
-    r = t.model.rects
-    return overlapping_rects(r.filter("rect_id % 2 = 0"), r.filter("rect_id % 10 = 1")).groupBy("l_rect_id").agg(F.count(F.lit(1)).alias("n"), F.sum("r_rect_id").alias("ids"))
+    return overlapping_rects(t.model.rects, t.model.rects).groupBy("l_rect_id").agg(F.count(F.lit(1)).alias("n"), F.sum("r_rect_id").alias("ids"))
 
 
 _RANGES = "SELECT o_custkey AS layer_id, o_orderkey % 500 AS a, o_orderkey % 500 + 1 + o_orderkey % 7 AS b, o_orderkey AS id FROM orders"

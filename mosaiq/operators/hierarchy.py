@@ -7,47 +7,69 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaiq.checkpoints import cut
 from mosaiq.registry import Tables, query
 from mosaiq.model import LAYERS_SQL
 
 
-def parents(layers: DataFrame) -> DataFrame:
-    """(layer_id, parent, rank) from the links alone: a first child's parent is known, and its siblings follow by next_id.
+#: Levels of a tree, and doublings along its siblings, after which links must go in circles.
+MOST_LEVELS, MOST_DOUBLINGS = 1000, 40
 
-    Here the mapped tables carry the parent; the rank of a sibling is that of its id.
-    """
-    return layers.withColumn("rank", F.row_number().over(Window.partitionBy("parent").orderBy("layer_id")))
 
+def linked(layers: DataFrame) -> DataFrame:
+    """layers(layer_id, next_id, first_child, ...) with parent and rank among siblings, found from the stored links alone.
 
-def levels(layers: DataFrame, root: int) -> list[DataFrame]:
+    A first child's parent is known, and its siblings follow by next_id:
+    each layer looks ahead twice as far in each round, so that a list of n
+    siblings takes about log2(n) joins, each written to the checkpoint folder
+    so that plans stay short. Links in circles raise an error. The
+    root, and what no link leads to, has a null parent and rank 0.
+    """
+    before = layers.filter("next_id <> 0").select(F.col("next_id").alias("of"), F.col("layer_id").alias("prev"))
+    up = layers.filter("first_child <> 0").select(F.col("first_child").alias("child"), F.col("layer_id").alias("parent"))
+    back = layers.select("layer_id").join(before, F.col("layer_id") == F.col("of"), "left").select("layer_id", F.coalesce("prev", "layer_id").alias("head"), F.col("prev").isNotNull().cast("bigint").alias("rank"))
+    for _ in range(MOST_DOUBLINGS):
+        back = cut(back)
+        far = back.select(F.col("layer_id").alias("at"), F.col("head").alias("further"), F.col("rank").alias("more"))
+        if back.join(far, F.col("head") == F.col("at")).filter("more > 0").isEmpty():
+            break
+        back = back.join(far, F.col("head") == F.col("at")).select("layer_id", F.col("further").alias("head"), (F.col("rank") + F.col("more")).alias("rank"))
+    else:
+        raise ValueError("links between siblings go in circles")
+    heads = back.join(up, F.col("head") == F.col("child"), "left").select(F.col("layer_id").alias("id"), "parent", "rank")
+    return layers.drop("parent", "rank").join(heads, F.col("layer_id") == F.col("id")).drop("id")
+
+
+def levels(layers: DataFrame, root: int, rank: str = "layer_id") -> list[DataFrame]:
     """Visible layers below root level by level: as many joins as the tree is deep. A hidden layer hides what is below it, not its siblings.
 
     The links and each level are kept, so that a level isn't walked again for
     those below it; what is lost with an executor is computed again.
     """
-    shown = layers.filter("(visibility & 1) <> 0").select("layer_id", "parent").persist()
-    out = [layers.filter(F.col("layer_id") == root).select("layer_id", F.lit(None).cast("bigint").alias("parent"), F.lit(0).cast("bigint").alias("tree_depth"))]
-    while True:
+    shown = layers.filter("(visibility & 1) <> 0").select("layer_id", "parent", F.col(rank).alias("rank")).persist()
+    out = [layers.filter(F.col("layer_id") == root).select("layer_id", F.lit(None).cast("bigint").alias("parent"), F.lit(0).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("tree_depth"))]
+    while len(out) < MOST_LEVELS:
         above = out[-1].select(F.col("layer_id").alias("up"), "tree_depth")
-        below = shown.join(above, F.col("parent") == F.col("up")).select("layer_id", "parent", (F.col("tree_depth") + 1).alias("tree_depth")).persist()
+        below = shown.join(above, F.col("parent") == F.col("up")).select("layer_id", "parent", "rank", (F.col("tree_depth") + 1).alias("tree_depth")).persist()
         if below.isEmpty():
             return out
         out.append(below)
+    raise ValueError("links between levels go in circles")
 
 
-def preorder(layers: DataFrame, root: int = 1) -> DataFrame:
-    """H1: (node_id, layer_id, parent, tree_depth, subtree_end) of the visible layers, depth first.
+def preorder(layers: DataFrame, root: int = 1, rank: str = "layer_id") -> DataFrame:
+    """H1: (node_id, layer_id, parent, tree_depth, subtree_end) of the visible layers, depth first, siblings in order of rank.
 
     No global sort: subtree sizes go up level by level, and a node's place is
     its parent's plus the sizes of the siblings before it.
     """
-    by_level = levels(layers, root)
+    by_level = levels(layers, root, rank)
     sized = [by_level[-1].withColumn("size", F.lit(1).cast("bigint"))]
     for level in reversed(by_level[:-1]):
         below = sized[-1].groupBy(F.col("parent").alias("of")).agg(F.sum("size").alias("n"))
         sized.append(level.join(below, F.col("layer_id") == F.col("of"), "left").select(*level.columns, (1 + F.coalesce("n", F.lit(0))).alias("size")))
     sized.reverse()
-    before = Window.partitionBy("parent").orderBy("layer_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("parent").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = [sized[0].withColumn("node_id", F.lit(0).cast("bigint"))]
     for level in sized[1:]:
         above = placed[-1].select(F.col("layer_id").alias("up"), F.col("node_id").alias("at"))
@@ -69,6 +91,12 @@ def h1(t: Tables) -> DataFrame:
     return preorder(t.model.tree).drop("subtree_end")
 
 
+@query("h1_preorder_by_links", f"{WALK_SQL} SELECT node_id, layer_id, parent, tree_depth FROM plan")
+def h1_links(t: Tables) -> DataFrame:
+    """H1: the same when parents and order are found from first children and next siblings."""
+    return preorder(linked(t.model.layers.drop("parent")), rank="rank").drop("subtree_end")
+
+
 @query("h3_subtree_range", f"{WALK_SQL} SELECT layer_id, node_id, subtree_end, subtree_end - node_id AS nodes FROM plan")
 def h3(t: Tables) -> DataFrame:
     return preorder(t.model.tree).select("layer_id", "node_id", "subtree_end", (F.col("subtree_end") - F.col("node_id")).alias("nodes"))

@@ -173,10 +173,10 @@ def a1(t: Tables) -> DataFrame:
     return t.model.layers.agg(F.count(F.lit(1)).alias("layers"))
 
 
-@query("s3_external_lookup", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 97 = 5")
+@query("s3_external_lookup", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def s3(t: Tables) -> DataFrame:
     """S3: bodies by their id."""
-    return t["orders"].filter("o_orderkey % 97 = 5").join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+    return t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
 @query("s20_last_id_wins", "SELECT o_custkey AS id, arg_max(o_totalprice, o_orderkey) AS body FROM orders GROUP BY o_custkey")
@@ -189,3 +189,83 @@ def s20(t: Tables) -> DataFrame:
 def s1(t: Tables) -> DataFrame:
     """In the strict reader the first one does."""
     return t["orders"].groupBy(F.col("o_custkey").alias("id")).agg(F.min_by("o_totalprice", "o_orderkey").alias("body"))
+
+
+_WIDTH_FROM = "CASE WHEN attribute_width IS NOT NULL THEN 'attribute' WHEN thumb_width IS NOT NULL THEN 'thumbnail' ELSE 'canvas' END"
+
+
+@query("p8_size_fallback", f"{CHAIN_SQL} SELECT layer_id, {_WIDTH_FROM} AS size_from, CAST({_WIDTH} AS BIGINT) AS width {_JOINS.format('render_mipmap')} LEFT JOIN thumbnail ON thumb_layer = layer_id")
+def p8(t: Tables) -> DataFrame:
+    """Which place a raster's size is from, and the size."""
+    chain = chain_tables(t)
+    found = resolve_sources(t.model.layers, chain, "render_mipmap").join(chain["thumbnail"], F.col("thumb_layer") == F.col("layer_id"), "left")
+    return found.select("layer_id", F.expr(_WIDTH_FROM).alias("size_from"), F.expr(_WIDTH).cast("bigint").alias("width"))
+
+
+@query("s11_raster_scan", f"{CHAIN_SQL} SELECT layer_id, external_id, composite, coalesce(attribute_width, thumb_width, 2048) > 300 AS wide {_JOINS.format('render_mipmap')} LEFT JOIN thumbnail ON thumb_layer = layer_id WHERE type_code IN (1, 3)")
+def s11(t: Tables) -> DataFrame:
+    """Sources of layers that are rasters."""
+    chain = chain_tables(t)
+    found = resolve_sources(t.model.layers.filter("type_code IN (1, 3)"), chain, "render_mipmap").join(chain["thumbnail"], F.col("thumb_layer") == F.col("layer_id"), "left")
+    return found.select("layer_id", "external_id", "composite", (F.expr(_WIDTH) > 300).alias("wide"))
+
+
+@query("s12_mask_scan", f"{CHAIN_SQL} SELECT layer_id, external_id, attribute_width IS NULL AS whole_canvas {_JOINS.format('mask_mipmap')} WHERE mask_mipmap <> 0 AND type_code <> 1584")
+def s12(t: Tables) -> DataFrame:
+    """Masks of layers that can have one, and whether they are as large as the canvas."""
+    found = resolve_sources(t.model.layers.filter("type_code <> 1584"), chain_tables(t), "mask_mipmap")
+    return found.select("layer_id", "external_id", F.col("attribute_width").isNull().alias("whole_canvas"))
+
+
+@query("p2_text_flag", f"WITH {LAYERS_SQL} SELECT CASE WHEN text_blob IS NOT NULL OR layer_id % 13 = 0 THEN 1 ELSE 0 END AS has_text, count(*) AS layers FROM layers GROUP BY 1")
+def p2(t: Tables) -> DataFrame:
+    """A layer has text if either of its columns does."""
+    array = F.when(F.col("layer_id") % 13 == 0, F.lit("array"))
+    flagged = t.model.layers.select(F.when(F.col("text_blob").isNotNull() | array.isNotNull(), 1).otherwise(0).alias("has_text"))
+    return flagged.groupBy("has_text").agg(F.count(F.lit(1)).alias("layers"))
+
+
+@query("p4_node_kind", f"WITH {LAYERS_SQL}, k AS (SELECT layer_id, {KIND_SQL} AS kind FROM layers) SELECT kind, {NODE_SQL} AS node, count(*) AS layers FROM k GROUP BY ALL")
+def p4(t: Tables) -> DataFrame:
+    """Kinds of layers and of the nodes that draw them."""
+    return t.model.layers.select(F.expr(KIND_SQL).alias("kind")).withColumn("node", F.expr(NODE_SQL)).groupBy("kind", "node").agg(F.count(F.lit(1)).alias("layers"))
+
+
+@query("p6_masked_layers", f"WITH {LAYERS_SQL} SELECT layer_id, mask_mipmap FROM layers WHERE mask_mipmap <> 0")
+def p6(t: Tables) -> DataFrame:
+    return t.model.layers.filter("mask_mipmap <> 0").select("layer_id", "mask_mipmap")
+
+
+@query("p10_color_component", "SELECT c_custkey, CASE WHEN v < 0 THEN (v + 4294967296) >> 24 WHEN v > 255 THEN least(v >> 24, 255) ELSE v END AS component FROM (SELECT c_custkey, c_custkey * 7919 % 600 - 200 + CASE WHEN c_custkey % 3 = 0 THEN 2000000000 ELSE 0 END AS v FROM customer)")
+def p10(t: Tables) -> DataFrame:
+    """P10: components of 32 bits: a negative one is read without its sign, and of a large one the highest byte counts."""
+    v = F.expr("c_custkey * 7919 % 600 - 200 + CASE WHEN c_custkey % 3 = 0 THEN 2000000000 ELSE 0 END")
+    return t["customer"].select("c_custkey", v.alias("v")).select("c_custkey", F.when(F.col("v") < 0, F.shiftright(F.col("v") + 4294967296, 24)).when(F.col("v") > 255, F.least(F.shiftright("v", 24), F.lit(255))).otherwise(F.col("v")).alias("component"))
+
+
+@query("j4_missing_sources", f"{CHAIN_SQL}, found AS (SELECT layer_id AS id {_JOINS.format('render_mipmap')}) SELECT layer_id, type_code FROM layers WHERE type_code IN (1, 3) AND layer_id NOT IN (SELECT id FROM found)")
+def j4(t: Tables) -> DataFrame:
+    """Raster nodes without a source, by an anti join."""
+    found = resolve_sources(t.model.layers, chain_tables(t), "render_mipmap").select(F.col("layer_id").alias("id"))
+    return t.model.layers.filter("type_code IN (1, 3)").join(found, F.col("layer_id") == F.col("id"), "left_anti").select("layer_id", "type_code")
+
+
+@query("o1_order_by_id", f"WITH {LAYERS_SQL} SELECT layer_id, depth, opacity FROM layers ORDER BY layer_id")
+def o1(t: Tables) -> DataFrame:
+    return t.model.layers.select("layer_id", "depth", "opacity").orderBy("layer_id")
+
+
+@query("o2_limit_one", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 1")
+def o2(t: Tables) -> DataFrame:
+    """O2: the one canvas: the limit is the feature."""
+    return t["customer"].select("c_custkey", "c_name").orderBy("c_custkey").limit(1)
+
+
+STRICT = f"CASE WHEN ({REASON}) IS NULL AND type_code IN (1, 3) AND (visibility & 1) <> 0 AND offscreen IS NULL THEN 'UndecodedResource' ELSE {REASON} END"
+
+
+@query("e29_strict_support", f"{CHAIN_SQL}, j AS (SELECT layers.*, info.offscreen FROM layers LEFT JOIN info ON render_mipmap + 1000000 = info_id) SELECT layer_id, {STRICT} AS strict, {REASON} AS plain FROM j WHERE ({STRICT}) IS NOT NULL")
+def e29(t: Tables) -> DataFrame:
+    """Support with a look at the resources, beside that from the metadata alone."""
+    joined = t.model.layers.join(chain_tables(t)["info"], F.col("render_mipmap") + 1000000 == F.col("info_id"), "left")
+    return joined.select("layer_id", F.expr(STRICT).alias("strict"), F.expr(REASON).alias("plain")).filter("strict is not null")

@@ -105,3 +105,36 @@ def test_streams(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from counts").first()[0] == 300
+
+
+def test_links_give_parents_and_order(spark):
+    from mosaiq.operators import hierarchy
+
+    tree = spark.createDataFrame([(1, 0, 2), (2, 3, 0), (3, 4, 5), (4, 0, 0), (5, 6, 0), (6, 0, 0)], "layer_id bigint, next_id bigint, first_child bigint")
+    assert sorted((r.layer_id, r.parent, r.rank) for r in hierarchy.linked(tree).collect() if r.parent) == [(2, 1, 0), (3, 1, 1), (4, 1, 2), (5, 3, 0), (6, 3, 1)]
+
+
+def test_png_filters():
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from mosaiq.sources import readers
+
+    px = np.random.default_rng(1).integers(0, 256, (4, 5, 4)).astype(np.uint8)
+    assert (readers.read_png(readers.write_png(px, [0, 1, 2, 1])) == px).all()
+    # average and Paeth rows by their definition, one channel value at a time
+    rows, raw = [], px.astype(int)
+    for y, how in enumerate([3, 4, 4, 3]):
+        row = [how]
+        for x in range(5):
+            for c in range(4):
+                a, b, d = (raw[y, x - 1, c] if x else 0), (raw[y - 1, x, c] if y else 0), (raw[y - 1, x - 1, c] if x and y else 0)
+                p = a + b - d
+                guess = (a + b) // 2 if how == 3 else min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - d), 2, d))[2]
+                row.append((raw[y, x, c] - guess) % 256)
+        rows.append(bytes(int(v) for v in row))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + bytes(4)
+    made = readers.PNG_MAGIC + chunk(b"IHDR", struct.pack(">2I5B", 5, 4, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
+    assert (readers.read_png(made) == px).all()
