@@ -61,24 +61,39 @@ def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
+#: Cut points of doc_id that are asked for, and rows of the heads' table up to which it is broadcast.
+CUTS, MOST_BROADCAST = 1024, 20_000
+
+
 def with_next(rows: DataFrame, sketched: Callable[[Column], Column], rows_in_range: int = 4000) -> DataFrame:
     """Adds sk, the sketch of text, and next_text and next_sk of the row that follows by descending doc_id (after the last: the first).
 
-    No sort of the whole table: quantiles cut doc_id into at most 1,024 ranges
-    that are sorted one by one, and each range's last row takes its follower
-    from the next range's first row. Null ids come last; ties go by text.
+    No sort of the whole table: quantiles cut doc_id into ranges, each of which
+    is cut evenly into as many parts as the table needs for parts of about
+    rows_in_range, and the parts are sorted one by one. The last row of a part
+    takes its follower from the first row of the next one. Null ids come last;
+    ties go by text; rows of one id are in one part.
     """
-    n, ids = rows.select(F.count(F.lit(1)), F.percentile_approx("doc_id", [i / 1024 for i in range(1, 1024)], 20000)).first()
-    cuts = sorted(set((ids or [])[:: max(1, round(rows_in_range * 1024 / max(n, 1)))]))
-    below = F.size(F.filter(F.array(*(F.lit(x).cast("bigint") for x in cuts)), lambda x: x <= F.col("doc_id"))) if cuts else F.lit(0)
-    cut = rows.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(below).cast("int"))
+    n, low, ids = rows.select(F.count(F.lit(1)), F.min("doc_id"), F.percentile_approx("doc_id", [i / CUTS for i in range(1, CUTS)], 20000)).first()
+    cuts = sorted({low, *(ids or [])[:: max(1, round(rows_in_range * CUTS / max(n, 1)))]} - {None})
+    each = max(1, round(n / max(len(cuts), 1) / rows_in_range))
+    starts = F.array(*(F.lit(x).cast("bigint") for x in [*cuts, (cuts or [0])[-1] + 1]))
+    nth = F.size(F.filter(starts, lambda x: x <= F.col("doc_id")))
+    wide = F.greatest(F.element_at(starts, F.least(F.col("nth") + 1, F.lit(len(cuts) + 1))) - F.element_at(starts, F.greatest("nth", F.lit(1))), F.lit(1))
+    share = F.least(F.floor((F.col("doc_id") - F.element_at(starts, F.greatest("nth", F.lit(1)))).cast("double") * each / wide), F.lit(each - 1))
+    part = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("nth").cast("bigint") * each + (share if each > 1 else 0))
+    cut = rows.withColumn("nth", nth).withColumn("part", part.cast("bigint")).drop("nth")
     inside = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").asc())
     led = cut.withColumn("next_text", F.lead("text").over(inside)).withColumn("sk", sketched(F.col("text"))).withColumn("next_sk", F.lead("sk").over(inside))
-    # from here to heads: a row for each range, at most 1,025
-    firsts = cut.groupBy("part").agg(F.max("doc_id").alias("m")).select(F.col("part").alias("p"), "m")
-    at, whole = Window.orderBy(F.col("p").desc()), Window.partitionBy()
-    linked = firsts.select(F.col("p").alias("of"), F.coalesce(F.lead("p").over(at), F.max("p").over(whole)).alias("follows"))
-    first_text = cut.join(F.broadcast(firsts), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("m"))).groupBy("p").agg(F.min("text").alias("head_text"))
+    # from here to heads: a row for each part; parts follow each other within a range, and then ranges do, at most CUTS + 1 of them
+    firsts = cut.groupBy("part").agg(F.max("doc_id").alias("m")).select(F.col("part").alias("p"), "m", F.floor(F.col("part") / each).alias("range"))
+    ranges = firsts.groupBy("range").agg(F.max("p").alias("top"))
+    whole, back = Window.partitionBy(), Window.orderBy(F.col("range").desc())
+    then = ranges.select(F.col("range").alias("r"), F.coalesce(F.lead("top").over(back), F.max("top").over(whole)).alias("then"))
+    within = F.lead("p").over(Window.partitionBy("range").orderBy(F.col("p").desc()))
+    linked = firsts.withColumn("below", within).join(then, F.col("range") == F.col("r")).select(F.col("p").alias("of"), F.coalesce("below", "then").alias("follows"))
+    few = lambda df: F.broadcast(df) if len(cuts) * each < MOST_BROADCAST else df
+    first_text = cut.join(few(firsts), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("m"))).groupBy("p").agg(F.min("text").alias("head_text"))
     heads = linked.join(first_text, F.col("follows") == F.col("p")).select("of", "head_text", sketched(F.col("head_text")).alias("head_sk"))
     out = led.join(heads, F.col("part") == F.col("of"), "left")
     return out.withColumns({"next_text": F.coalesce("next_text", "head_text"), "next_sk": F.coalesce("next_sk", "head_sk")}).drop("of", "head_text", "head_sk", "part")

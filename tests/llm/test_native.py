@@ -145,6 +145,19 @@ def test_fingerprints(docs):
             assert by_text.setdefault(t, r.fingerprint) == r.fingerprint
 
 
+@pytest.mark.parametrize("rows_in_range", [1, 3, 50, 4000])
+@pytest.mark.parametrize("ids", ["dense", "clustered", "one"])
+def test_followers(spark, monkeypatch, rows_in_range, ids):
+    """Whatever the parts, each row is followed by the next in order, and the last by the first."""
+    monkeypatch.setattr(fingerprints, "CUTS", 8)
+    r = random.Random(rows_in_range)
+    of = {"dense": lambda k: k, "clustered": lambda k: r.choice([k, 10**12 + k, -(10**15) - k]), "one": lambda k: 7}[ids]
+    rows = [(of(k), f"text {k:03d}") for k in range(120)] + [(None, "none b"), (None, "none a")]
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id bigint, text string"), lambda t: fingerprints.sketch(t), rows_in_range)
+    assert {(x.doc_id, x.text, x.next_text) for x in got.collect()} == {(*a, b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True)}
+
+
 def test_short_texts_have_fingerprints(spark):
     rows = [(k, " ".join(f"w{k}x{j}" for j in range(5 + k % 6))) for k in range(60)]
     got = fingerprints.fingerprint_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
