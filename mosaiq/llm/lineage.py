@@ -1,19 +1,5 @@
-"""Cutting lineage with files in the folder that the cluster names in spark.checkpoint.dir."""
+"""Cutting lineage in the shared checkpoint folder, as the rest of the library does."""
 
-from __future__ import annotations
+from mosaiq.checkpoints import cut
 
-import tempfile
-
-from pyspark.sql import DataFrame
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the shared checkpoint folder from then on.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (a local session) a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+__all__ = ["cut"]
