@@ -19,6 +19,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.llm import workers
+
 # The white space that the pre-tokenizer's \s stands for, and its pattern.
 WHITE = r"\t-\r \x85\xa0  -     　"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -274,7 +276,7 @@ def ship_lexicon(spark: SparkSession, flat: np.ndarray) -> str:
     return name
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = workers.remembered({})
 
 
 def encode(docs: DataFrame, tokenizer: str, lexicon_words: int = 50_000) -> DataFrame:
@@ -287,6 +289,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon_words: int = 50_000) -> Data
     make = _encoder_for(docs, tokenizer, lexicon_words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        workers.enter("bpe")
         encoder = make()
         for batch in batches:
             texts = batch["text"].tolist()
@@ -320,6 +323,7 @@ def bpe_digest(docs: DataFrame, tokenizer: str, lexicon_words: int = 50_000, ids
     kind = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        workers.enter("bpe")
         encoder = make()
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:

@@ -22,6 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.llm import workers
 from mosaiq.llm.lines import FOLD
 
 WINDOW, STRIDE = 64, 32
@@ -154,6 +155,7 @@ def fit_space(docs: DataFrame, items: list[Item], rank: int = RANK) -> Space:
     shared = docs.sparkSession.sparkContext.broadcast((vocab, omega))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        workers.enter("decontaminate")
         own, directions = shared.value
         y, df, passages = np.zeros((len(own), directions.shape[1]), np.float64), np.zeros(len(own), np.int64), 0
         rows, words, held = [], [], 0
@@ -274,6 +276,7 @@ def search_texts(space: Space, items: list[Item], texts: list[str]) -> list[dict
 def _searcher(shared: Broadcast):  # noqa: ANN202
     @F.pandas_udf("struct<item_ids:array<bigint>,best:double>")
     def search(texts: pd.Series) -> pd.DataFrame:
+        workers.enter("decontaminate")
         space, items = shared.value
         out = []
         for k in range(0, len(texts), 200):

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
+from mosaiq.llm import workers
+
 FLAGS = "block bigint, round int, bucket int, flags binary"
 SENT = "round int, bucket int, block bigint, data binary"
 #: Bytes of text in a block; a longer document is a block of its own.
@@ -49,6 +51,7 @@ def pack_blocks(docs: DataFrame, carry: bool = False) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").try_cast("bigint"), F.lit(0)).alias("doc_id"), known.alias("known"), F.coalesce("text", F.lit("")).alias("text"), *([rest.alias("rest")] if carry else []))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("blocks")
         task, k, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             if not batch.num_rows:
@@ -172,6 +175,7 @@ def judged(rows: pd.DataFrame, width: int, verdict: Verdict) -> pd.DataFrame:
     place), whether each sorted one begins a new value, and how often each
     value occurs. width is the bytes of a fingerprint.
     """
+    workers.enter("blocks")
     rows = rows.sort_values("block")
     values = widen(b"".join(rows["data"]), width)
     order = np.argsort(values, kind="stable")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.llm import workers
+
 FEATURES = [
     "log_chars", "log_words", "word_len", "word_len_sd", "upper", "digit", "symbol", "non_ascii", "space", "distinct", "top_word", "adjacent_same",
     "lines_per_word", "distinct_lines", "capital_words", "marked_words", "short_words", "long_words", "comma_stop", "bars", "last_stop", "symbol_runs",
@@ -169,6 +171,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        workers.enter("quality")
         for batch in batches:
             yield pd.DataFrame({"quality": batch["quality"], "x": [features(t) for t in batch["text"]], "doc_id": batch["doc_id"]})
 
@@ -191,6 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, least
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        workers.enter("quality")
         x = np.array([features(t) for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
         return pd.Series(shared.value.score(x))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from mosaiq.llm import packed
+from mosaiq.llm import packed, workers
 from mosaiq.llm.components import components
 from mosaiq.llm.lineage import cut
 
@@ -45,7 +45,7 @@ class Words(dict):
         return h
 
 
-_words = Words()
+_words = workers.remembered(Words())
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +179,7 @@ def set_classes(blocks: DataFrame, total: int, percent: int = 80, words: int = 5
                 yield pd.DataFrame(packed.send(int(row["block"]), 0, own, packed.mix(own), buckets, NOMINATE), columns=["round", "bucket", "block", "data"])
 
     def index(left: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
+        workers.enter("blocks")
         out = []
         for _, row in left.iterrows():
             doc, h, own = block_set(row)
@@ -229,6 +230,7 @@ def set_classes(blocks: DataFrame, total: int, percent: int = 80, words: int = 5
         return pd.DataFrame(out, columns=["root", "i", "j", "own", "node", "m", "data"])
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        workers.enter("blocks")
         rows = rows.assign(n=rows["data"].map(len)).sort_values(["n", "node"])
         i, j = rows["i"].iloc[0], rows["j"].iloc[0]
         sets = [np.frombuffer(x, np.uint64) for x in rows["data"]]

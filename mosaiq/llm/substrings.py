@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from mosaiq.llm import packed
+from mosaiq.llm import packed, workers
 
 # A perfect difference set; each distance modulo 133 but 0 occurs once.
 COVER, PERIOD = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109), 133
@@ -39,7 +39,7 @@ def letters(seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, 256, dtype=np.uint64)
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = workers.remembered({})
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 

@@ -114,5 +114,23 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 3, 4, 5]
 
 
+def test_keep_one_keeps_rows_as_they_are(spark):
+    """Equal ids of different texts, null ids and texts, clashing names and types, copies: one row of each component."""
+    import datetime
+
+    at = datetime.datetime(2024, 5, 6, 7, 8, 9, 123456)
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [
+        (1, long, at, "a", 1), (1, "other words that stand here alone", at, "b", 2), (2, long + " more", None, "c", None), (None, long, at, "d", 4),
+        (3, None, at, "e", 5), (3, None, at, "e", 5), (4, "", None, "f", 6), (None, "only this one has no number at all", at, "g", 7), (None, "only this one has no number at all", at, "h", 8),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, kept timestamp, nth string, rest int").repartition(2)
+    got = setjoin.keep_one(df)
+    assert got.schema == df.schema
+    names = sorted(r.nth for r in got.collect())
+    assert names in (["a", "b", "e", "e", "f", "g"], ["a", "b", "e", "e", "f", "h"])
+    assert {r.nth: (r.doc_id, r.text, r.kept, r.rest) for r in got.filter("nth in ('a', 'b', 'f')").collect()} == {r[3]: (r[0], r[1], r[2], r[4]) for r in rows if r[3] in "abf"}
+
+
 def test_empty(spark):
     assert got(spark.createDataFrame([], "doc_id bigint, text string")) == []

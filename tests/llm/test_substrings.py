@@ -63,3 +63,14 @@ def test_empty(spark):
     assert got(spark.createDataFrame([], "doc_id bigint, text string")) == []
     kept = substrings.remove_repeats(spark.createDataFrame([(1, "a" * 500), (2, "b")], "doc_id bigint, text string"), texts=True).collect()
     assert sorted((r.doc_id, bytes(r.kept)) for r in kept) == [(1, b""), (2, b"b")]
+
+
+def test_short_passages_are_counted(spark):
+    """A passage of 290 bytes that stands in two documents isn't removed but counted in both, and nothing in others."""
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    rows = [(k, word(r.randrange(100, 900))) for k in range(40)]
+    passage = word(290)
+    rows += [(100, word(77) + passage + word(50)), (101, word(333) + passage)]
+    out = {x.doc_id: (x.n_removed, x.n_short > 0) for x in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {i: (0, i >= 100) for i, _ in rows}
