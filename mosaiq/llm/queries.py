@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import bpe, decontaminate, fingerprints, licenses, lines, pii, quality, secrets, setjoin, substrings
+from mosaiq.llm import bpe, decontaminate, fingerprints, licenses, lines, pii, quality, secrets, setjoin, substrings, tokencounts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +54,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_components(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_license_scan, op4_bpe, op5_quality, op6_secret_scan, op7_pii, op8_fingerprints, op9_line_dedup, op10_jaccard_join)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_license_scan, op4_bpe, op5_quality, op6_secret_scan, op7_pii, op8_fingerprints, op9_line_dedup, op10_jaccard_join, op11_token_counts)}
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.licenses_sql()}
