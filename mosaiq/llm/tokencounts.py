@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,13 +224,14 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """
     pieces = Pieces(model)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    mark = xxhash.xxh3_64_intdigest(pieces.keys.tobytes() + pieces.ranks.tobytes() + pieces.pattern.encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workers.enter("tokens")
-        counter = _counters.get(shared.id)
+        counter = _counters.get(mark)
         if counter is None:
             _counters.clear()
-            counter = _counters[shared.id] = Counter(shared.value)
+            counter = _counters[mark] = Counter(shared.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = [n for k in range(0, len(texts), BATCH) for n in counter.count(texts[k : k + BATCH])]
