@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import bpe, decontaminate, fingerprints, licenses, lines, pii, quality, secrets, setjoin, substrings, tokencounts
+from mosaiq.llm import bpe, decontaminate, fingerprints, licenses, lines, pii, quality, secrets, setjoin, substrings, tokencounts, tries, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,5 +58,13 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_license_scan, op4_bpe, op5_quality, op6_secret_scan, op7_pii, op8_fingerprints, op9_line_dedup, op10_jaccard_join, op11_token_counts)}
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.shared_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_license_scan, op4_bpe, op5_quality, op6_secret_scan, op7_pii, op8_fingerprints, op9_line_dedup, op10_jaccard_join, op11_token_counts, op12_conversation_trie, op13_embedding_whitening)}
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.licenses_sql()}
