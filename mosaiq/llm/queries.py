@@ -67,4 +67,4 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_license_scan, op4_bpe, op5_quality, op6_secret_scan, op7_pii, op8_fingerprints, op9_line_dedup, op10_jaccard_join, op11_token_counts, op12_conversation_trie, op13_embedding_whitening)}
-ORACLES: dict[str, str] = {"op3_license_scan": licenses.licenses_sql()}
+ORACLES: dict[str, str] = {"op3_license_scan": licenses.licenses_sql(), "op12_conversation_trie": tries.trie_sql()}

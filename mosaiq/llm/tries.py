@@ -197,3 +197,28 @@ def shared_trie(turns: DataFrame) -> DataFrame:
     """The same after share_heads has rebuilt the conversations."""
     placed, convs = share_heads(cut(number_turns(turns)))
     return trie(placed, cut(convs))
+
+
+def trie_sql() -> str:
+    """SQL of shared_trie over the table conversations; crc32 is worked out bit by bit."""
+    step = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda c, b: {step}), 4294967295)"
+    key = "md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))"
+    return f"""
+WITH placed AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {key}) AS place FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS donor, {crc} % 4 AS h FROM placed),
+taken AS (SELECT h.conv_id, place, role, text FROM heads h JOIN placed p ON p.conv_id = h.donor AND place <= h),
+sized AS (SELECT h.conv_id, h.h, count(t.place) AS k FROM heads h LEFT JOIN taken t ON t.conv_id = h.conv_id GROUP BY ALL),
+rebuilt AS (SELECT * FROM taken UNION ALL SELECT p.conv_id, place - h + k, role, text FROM placed p JOIN sized s ON s.conv_id = p.conv_id WHERE place > h),
+steps AS (
+  SELECT conv_id, place AS depth, text, string_agg({key}, '') OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS key, place = max(place) OVER (PARTITION BY conv_id) AS ends FROM rebuilt
+  UNION ALL SELECT conv_id, 0, NULL, '', conv_id NOT IN (SELECT conv_id FROM rebuilt) FROM heads),
+nodes AS (
+  SELECT key, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(len(regexp_extract_all(min(text), '[^\\x20\\x09-\\x0D]+')), 0) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM steps GROUP BY key),
+kids AS (SELECT left(key, length(key) - 32) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(k.n, 0) AS n_children, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN kids k ON k.key = n.key LEFT JOIN nodes p ON n.depth > 0 AND p.key = left(n.key, length(n.key) - 32)),
+sums AS (SELECT s.key, sum(CASE WHEN n.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(n.saved) AS saved_tokens FROM full_nodes n JOIN steps s ON s.conv_id = n.conv_id AND s.depth <= n.depth GROUP BY s.key)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256 FROM full_nodes n JOIN sums s ON s.key = n.key
+"""
