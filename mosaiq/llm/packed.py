@@ -201,27 +201,34 @@ def send_owned(block: int, round_: int, values: np.ndarray, owner: np.ndarray, b
 
 
 def shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """FLAGS that hold, for each block, the owners of values with several owners, and a token for each such value."""
+    """FLAGS that hold, for each block, the owners of values with several owners, and for each such value a token and its hub.
+
+    A value's hub is a number for the first block and owner that have it.
+    """
+    rows = rows.sort_values("block")
     blocks, bucket = rows["block"].to_numpy(), int(rows["bucket"].iloc[0])
     sizes = np.array([len(d) // 10 for d in rows["data"]])
     values = np.concatenate([widen(d[: 6 * n], 6) for d, n in zip(rows["data"], sizes.tolist())])  # noqa: B905
-    order = np.argsort(values)
+    order = np.argsort(values, kind="stable")
     new = np.concatenate([[True], values[order][1:] != values[order][:-1]])
     several = np.zeros(len(values), bool)
     counts = np.diff(np.append(np.flatnonzero(new), len(new)))
     several[order] = np.repeat(counts > 1, counts)
+    owners = np.concatenate([np.ascontiguousarray(np.frombuffer(d[6 * n :], np.uint8).reshape(4, n).T).view("<u4").ravel() for d, n in zip(rows["data"], sizes.tolist())])  # noqa: B905
+    own_hub, hubs = mix(mix(np.repeat(blocks, sizes).astype(np.uint64)) ^ owners.astype(np.uint64)), np.empty(len(values), np.uint64)
+    hubs[order] = np.repeat(own_hub[order[new]], counts)
     tokens, out, press, at = mix(values ^ mix(np.full(1, bucket + 1, np.uint64))), [], zstandard.ZstdCompressor(level=1), 0
-    for block, d, n in zip(blocks.tolist(), rows["data"], sizes.tolist()):  # noqa: B905
+    for block, n in zip(blocks.tolist(), sizes.tolist()):  # noqa: B905
         use = several[at : at + n]
         if use.any():
-            owner = np.ascontiguousarray(np.frombuffer(d[6 * n :], np.uint8).reshape(4, n).T).view("<u4").ravel()[use]
-            out.append((block, int(rows["round"].iloc[0]), bucket, press.compress(owner.tobytes() + tokens[at : at + n][use].tobytes())))
+            parts = (x[at : at + n][use].tobytes() for x in (owners, tokens, hubs))
+            out.append((block, int(rows["round"].iloc[0]), bucket, press.compress(b"".join(parts))))
         at += n
     return pd.DataFrame(out, columns=["block", "round", "bucket", "flags"])
 
 
-def received_owned(flags: pd.DataFrame, round_: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, token) of what shared found for a block."""
+def received_owned(flags: pd.DataFrame, round_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, token, hub) of what shared found for a block."""
     found = [unpack(x) for x in flags["flags"][flags["round"] == round_]]
-    parts = [(np.frombuffer(x[: len(x) // 3], "<u4"), np.frombuffer(x[len(x) // 3 :], np.uint64)) for x in found]
-    return (np.concatenate([o for o, _ in parts]).astype(np.int64), np.concatenate([t for _, t in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    parts = [(np.frombuffer(x[: len(x) // 5], "<u4").astype(np.int64), *np.frombuffer(x[len(x) // 5 :], np.uint64).reshape(2, -1)) for x in found]
+    return tuple(map(np.concatenate, zip(*parts))) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))  # noqa: B905
