@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.checkpoints import cut
@@ -12,8 +13,8 @@ from mosaiq.registry import Tables, query
 from mosaiq.model import LAYERS_SQL
 
 
-#: Levels of a tree, and doublings along its siblings, after which links must go in circles.
-MOST_LEVELS, MOST_DOUBLINGS = 1000, 40
+#: Doublings along siblings or levels after which links must go in circles.
+MOST_DOUBLINGS = 40
 
 
 def linked(layers: DataFrame) -> DataFrame:
@@ -40,43 +41,69 @@ def linked(layers: DataFrame) -> DataFrame:
     return layers.drop("parent", "rank").join(heads, F.col("layer_id") == F.col("id")).drop("id")
 
 
-def levels(layers: DataFrame, root: int, rank: str = "layer_id") -> list[DataFrame]:
-    """Visible layers below root level by level: as many joins as the tree is deep. A hidden layer hides what is below it, not its siblings.
+def along_ancestors(nodes: DataFrame, merges: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """nodes(layer_id, up, values) with each value merged with those of all nodes above, whatever up leads to.
 
-    The links and each level are kept, so that a level isn't walked again for
-    those below it; what is lost with an executor is computed again.
+    Pointers double: in each round a node takes what the node it points to has
+    gathered, and its pointer. The number of joins is the logarithm of the
+    depth. A link that leads nowhere ends there; links in circles are an error.
     """
-    shown = layers.filter("(visibility & 1) <> 0").select("layer_id", "parent", F.col(rank).alias("rank")).persist()
-    out = [layers.filter(F.col("layer_id") == root).select("layer_id", F.lit(None).cast("bigint").alias("parent"), F.lit(0).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("tree_depth"))]
-    while len(out) < MOST_LEVELS:
-        above = out[-1].select(F.col("layer_id").alias("up"), "tree_depth")
-        below = shown.join(above, F.col("parent") == F.col("up")).select("layer_id", "parent", "rank", (F.col("tree_depth") + 1).alias("tree_depth")).persist()
-        if below.isEmpty():
-            return out
-        out.append(below)
+    now = cut(nodes.select("layer_id", "up", *merges))
+    parts = now.rdd.getNumPartitions()
+    n, left = now.agg(F.count(F.lit(1)), F.count("up")).first()
+    for _ in range(n.bit_length() + 1):
+        if not left:
+            return now.drop("up")
+        far = now.select(F.col("layer_id").alias("at"), F.col("up").alias("further"), *(F.col(v).alias(f"far_{v}") for v in merges))
+        deep = now.filter("up is not null").join(far, F.col("up") == F.col("at"), "left")
+        merged = (F.when(F.col("at").isNull(), F.col(v)).otherwise(merge(F.col(v), F.col(f"far_{v}"))).alias(v) for v, merge in merges.items())
+        now = cut(now.filter("up is null").union(deep.select("layer_id", F.col("further").alias("up"), *merged)).coalesce(parts))
+        left = now.filter("up is not null").count()
     raise ValueError("links between levels go in circles")
 
 
+def subtree_sizes(nodes: DataFrame) -> DataFrame:
+    """(layer_id, size) of nodes(layer_id, parent, tree_depth), in a round for each bit of the depth.
+
+    After a round a node has counted what lies up to twice as deep below it:
+    its own, and what the nodes have that point to it over that distance.
+    """
+    active = nodes.filter("tree_depth > 0").select("layer_id", "tree_depth", F.lit(1).cast("bigint").alias("size"), F.col("parent").alias("up"))
+    found, step = [nodes.select("layer_id", F.lit(1).cast("bigint").alias("size"))], 1
+    deepest = nodes.agg(F.max("tree_depth")).first()[0] or 0
+    while step <= deepest:
+        got = cut(active.groupBy(F.col("up").alias("layer_id")).agg(F.sum("size").alias("size")))
+        found.append(got)
+        if 2 * step <= deepest:
+            more = got.select("layer_id", F.col("size").alias("more"))
+            deep = active.filter(F.col("tree_depth") >= 2 * step).join(more, "layer_id", "left").select("layer_id", "tree_depth", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), "up")
+            active = cut(deep.join(active.select(F.col("layer_id").alias("up"), F.col("up").alias("onward")), "up").select("layer_id", "tree_depth", "size", F.col("onward").alias("up")))
+        step *= 2
+    return reduce(DataFrame.union, found).groupBy("layer_id").agg(F.sum("size").alias("size"))
+
+
+def visible(layers: DataFrame, root: int, rank: str = "layer_id") -> DataFrame:
+    """(layer_id, parent, rank, tree_depth) of root and the visible layers below it. A hidden layer hides what is below it, not its siblings."""
+    at_root = F.col("layer_id") == root
+    nodes = layers.select("layer_id", F.when(~at_root, F.col("parent")).alias("up"), (at_root | (F.col("visibility").bitwiseAND(1) != 0)).alias("shown"), F.when(at_root, 0).otherwise(1).cast("bigint").alias("tree_depth"), F.col("layer_id").alias("top"))
+    walked = along_ancestors(nodes, {"shown": lambda a, b: a & b, "tree_depth": lambda a, b: a + b, "top": lambda _, b: b})
+    shown = walked.filter(F.col("shown") & (F.col("top") == root)).select("layer_id", "tree_depth")
+    return layers.select("layer_id", F.when(~at_root, F.col("parent")).alias("parent"), F.when(at_root, 0).otherwise(F.col(rank)).cast("bigint").alias("rank")).join(shown, "layer_id")
+
+
 def preorder(layers: DataFrame, root: int = 1, rank: str = "layer_id") -> DataFrame:
     """H1: (node_id, layer_id, parent, tree_depth, subtree_end) of the visible layers, depth first, siblings in order of rank.
 
-    No global sort: subtree sizes go up level by level, and a node's place is
-    its parent's plus the sizes of the siblings before it.
+    No global sort and no join for each level: subtree sizes are counted over
+    doubling distances, and a node's place is the sum, over it and its
+    ancestors, of the sizes of the siblings before, and one for each level.
     """
-    by_level = levels(layers, root, rank)
-    sized = [by_level[-1].withColumn("size", F.lit(1).cast("bigint"))]
-    for level in reversed(by_level[:-1]):
-        below = sized[-1].groupBy(F.col("parent").alias("of")).agg(F.sum("size").alias("n"))
-        sized.append(level.join(below, F.col("layer_id") == F.col("of"), "left").select(*level.columns, (1 + F.coalesce("n", F.lit(0))).alias("size")))
-    sized.reverse()
+    nodes = cut(visible(layers, root, rank))
+    sized = nodes.join(subtree_sizes(nodes), "layer_id")
     before = Window.partitionBy("parent").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    placed = [sized[0].withColumn("node_id", F.lit(0).cast("bigint"))]
-    for level in sized[1:]:
-        above = placed[-1].select(F.col("layer_id").alias("up"), F.col("node_id").alias("at"))
-        shifted = level.withColumn("skip", F.coalesce(F.sum("size").over(before), F.lit(0)))
-        placed.append(shifted.join(above, F.col("parent") == F.col("up")).select(*level.columns, (F.col("at") + 1 + F.col("skip")).alias("node_id")))
-    whole = reduce(DataFrame.unionByName, placed)
-    return whole.select("node_id", "layer_id", "parent", "tree_depth", (F.col("node_id") + F.col("size")).alias("subtree_end"))
+    steps = cut(sized.withColumn("node_id", F.when(F.col("parent").isNull(), F.lit(0)).otherwise(1 + F.coalesce(F.sum("size").over(before), F.lit(0)))))
+    placed = along_ancestors(steps.select("layer_id", F.col("parent").alias("up"), "node_id"), {"node_id": lambda a, b: a + b})
+    return steps.drop("node_id").join(placed, "layer_id").select("node_id", "layer_id", "parent", "tree_depth", (F.col("node_id") + F.col("size")).alias("subtree_end"))
 
 
 WALK_SQL = f"""WITH RECURSIVE {LAYERS_SQL},
@@ -163,8 +190,8 @@ def h7(t: Tables) -> DataFrame:
     f"{WALK_SQL} SELECT l.tree_depth AS depth, count(*) AS visible FROM plan l GROUP BY l.tree_depth",
 )
 def p7(t: Tables) -> DataFrame:
-    """Visibility prunes whole subtrees while they are walked."""
-    return reduce(DataFrame.union, (x.select("tree_depth") for x in levels(t.model.tree, 1))).groupBy(F.col("tree_depth").alias("depth")).agg(F.count(F.lit(1)).alias("visible"))
+    """Visibility prunes whole subtrees."""
+    return visible(t.model.tree, 1).groupBy(F.col("tree_depth").alias("depth")).agg(F.count(F.lit(1)).alias("visible"))
 
 
 @query(
@@ -173,18 +200,11 @@ def p7(t: Tables) -> DataFrame:
 SELECT p.layer_id, CASE WHEN b.node_id = p.node_id THEN 'UnsupportedGroup' ELSE 'InsideUnsupportedContainer' END AS reason FROM plan p JOIN bad b ON p.node_id >= b.node_id AND p.node_id < b.subtree_end""",
 )
 def p16(t: Tables) -> DataFrame:
-    """The reason goes down from an unsupported root, level by level, with equi-joins instead of a range join."""
-    layers = t.model.tree
-    by_level = levels(layers, 1)
-    reason = F.expr("CASE WHEN inside THEN 'InsideUnsupportedContainer' WHEN l_depth = 2 AND layer_id % 3 = 0 THEN 'UnsupportedGroup' END")
-    out, above = [], None
-    for level in by_level:
-        here = level.withColumn("l_depth", F.col("tree_depth"))
-        here = here.withColumn("inside", F.lit(False)) if above is None else here.join(above, F.col("parent") == F.col("up"))
-        marked = here.withColumn("reason", reason)
-        above = marked.select(F.col("layer_id").alias("up"), F.col("reason").isNotNull().alias("inside"))
-        out.append(marked.select("layer_id", "reason"))
-    return reduce(DataFrame.union, out).filter("reason is not null")
+    """An unsupported node marks what is below it, along doubling pointers instead of a range join."""
+    nodes = visible(t.model.tree, 1).withColumn("bad", F.expr("tree_depth = 2 AND layer_id % 3 = 0"))
+    marked = along_ancestors(nodes.select("layer_id", F.col("parent").alias("up"), "bad"), {"bad": lambda a, b: a | b}).withColumnRenamed("bad", "within")
+    reason = F.when(F.col("bad"), "UnsupportedGroup").otherwise("InsideUnsupportedContainer")
+    return nodes.select("layer_id", "bad").join(marked.filter("within"), "layer_id").select("layer_id", reason.alias("reason"))
 
 
 OUTCOME = "CASE WHEN type_code NOT IN (0, 1, 2, 3, 256, 1584, 4098) THEN 'Blocked' WHEN type_code = 4098 THEN 'Cleared' ELSE 'Available' END"
