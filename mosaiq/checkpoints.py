@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the shared checkpoint folder from then on.
+def shared_folder(session: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which the driver and all executors share.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset a
-    local session gets a temporary one; a cluster, whose executors couldn't
-    all reach it, an error.
+    Where that is unset a local session gets a temporary one; a cluster, whose
+    executors couldn't all reach it, an error.
     """
-    session = df.sparkSession
     context = session.sparkContext
     if context.getCheckpointDir() is None:
         folder = session.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp())
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and read from the shared checkpoint folder from then on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
