@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.registry import Tables, query
@@ -61,17 +61,60 @@ def j9(t: Tables) -> DataFrame:
     return t["customer"].select(F.col("c_custkey").alias("layer_id"), "c_nationkey").join(diff_tiles(*t.model.snapshots), "layer_id", "left_semi")
 
 
-def overlapping_rects(left: DataFrame, right: DataFrame, tile: int = 256) -> DataFrame:
-    """Pairs of rectangles that overlap. Both are dealt out to the tiles they touch, so this is an equi-join on the tile; a pair counts in the tile of its first common corner."""
+#: Rectangles of a cell from which it is dealt out in shares, and the side of the smallest cells, as a power of two.
+HEAVY, FINEST = 20_000, 4
 
-    def dealt(df: DataFrame, p: str) -> DataFrame:
-        named = df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("rect_id", "x", "y", "w", "h")))
-        across, down = (F.explode(F.sequence(F.expr(f"{p}_{a} div {tile}"), F.expr(f"({p}_{a} + {p}_{n} - 1) div {tile}"))) for a, n in (("x", "w"), ("y", "h")))
-        return named.withColumn("tx", across).withColumn("ty", down)
 
-    pairs = dealt(left, "l").join(dealt(right, "r"), ["tx", "ty"])
-    meet = "l_x < r_x + r_w AND r_x < l_x + l_w AND l_y < r_y + r_h AND r_y < l_y + l_h"
-    return pairs.filter(meet).filter(f"tx = greatest(l_x, r_x) div {tile} AND ty = greatest(l_y, r_y) div {tile}")
+def cell_level(w: str, h: str) -> Column:
+    """The power of two of the smallest cells of which a rectangle touches two across and two down at most."""
+    return F.greatest(F.lit(FINEST), F.ceil(F.log2(F.greatest(F.expr(w), F.expr(h), F.lit(1)))).cast("int"))
+
+
+def overlapping_rects(left: DataFrame, right: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """Pairs of rectangles that overlap, of tables (rect_id, x, y, w, h); rectangles with a null or no area overlap nothing.
+
+    Cells of several sizes: a rectangle lies in up to four cells of about its
+    own size, and looks into those of larger rectangles. The join is on the
+    cell, and a pair counts in the cell of its first common corner. Cells of
+    more than heavy rectangles are dealt out: one side in shares, the other to
+    all of them, so that a task's work is bounded wherever rectangles crowd.
+    """
+
+    def named(df: DataFrame, p: str) -> DataFrame:
+        rows = df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("rect_id", "x", "y", "w", "h"))).filter(f"{p}_x is not null and {p}_y is not null and {p}_w > 0 and {p}_h > 0")
+        return rows.withColumn(f"{p}_level", cell_level(f"{p}_w", f"{p}_h"))
+
+    def dealt(rows: DataFrame, p: str, level: Column) -> DataFrame:
+        placed = rows.withColumn("level", level)
+        cell = lambda v: F.floor((v) / F.pow(F.lit(2.0), F.col("level"))).cast("bigint")
+        span = lambda a, n: F.explode(F.sequence(cell(F.col(f"{p}_{a}")), cell(F.col(f"{p}_{a}") + F.col(f"{p}_{n}") - 1)))
+        return placed.withColumn("cx", span("x", "w")).withColumn("cy", span("y", "h"))
+
+    keys = ["level", "cx", "cy"]
+
+    def pairs(small: DataFrame, p: str, large: DataFrame, q: str, equal: bool) -> DataFrame:
+        """Pairs whose second rectangle is of larger cells, or if equal of the same."""
+        there = large.select(F.col(f"{q}_level").alias("level")).distinct().agg(F.sort_array(F.collect_list("level")).alias("levels"))
+        looking = small.crossJoin(F.broadcast(there)).withColumn("to", F.explode(F.filter("levels", lambda v: v >= F.col(f"{p}_level") if equal else v > F.col(f"{p}_level")))).drop("levels")
+        lower, upper = dealt(looking, p, F.col("to")).drop("to"), dealt(large, q, F.col(f"{q}_level"))
+        shares = lower.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy).select(*keys, F.ceil(F.col("n") / heavy).cast("int").alias("m"))
+        one = F.coalesce("m", F.lit(1))
+        lower = lower.join(shares, keys, "left").withColumn("share", F.pmod(F.xxhash64(f"{p}_rect_id"), one).cast("int")).drop("m")
+        upper = upper.join(shares, keys, "left").withColumn("share", F.explode(F.sequence(F.lit(0), one - 1))).drop("m")
+        corner = lambda a, c: F.floor(F.greatest(f"l_{a}", f"r_{a}") / F.pow(F.lit(2.0), F.col("level"))).cast("bigint") == F.col(c)
+        met = lower.join(upper, [*keys, "share"]).filter("l_x < r_x + r_w AND r_x < l_x + l_w AND l_y < r_y + r_h AND r_y < l_y + l_h").filter(corner("x", "cx") & corner("y", "cy"))
+        return met.select(*(f"{side}_{c}" for side in "lr" for c in ("rect_id", "x", "y", "w", "h")))
+
+    ls, rs = named(left, "l"), named(right, "r")
+    return pairs(ls, "l", rs, "r", True).union(pairs(rs, "r", ls, "l", False))
+
+
+def dirty_items(items: DataFrame, dirty: DataFrame) -> DataFrame:
+    """(rect_id, dirty) of items: whether any dirty rectangle overlaps it; one of unknown place counts as dirty if there is any dirty one."""
+    known = overlapping_rects(items, dirty).select(F.col("l_rect_id").alias("rect_id")).distinct().withColumn("met", F.lit(True))
+    some = F.broadcast(dirty.agg((F.count(F.lit(1)) > 0).alias("some")))
+    unknown = F.col("x").isNull() | F.col("y").isNull() | F.col("w").isNull() | F.col("h").isNull()
+    return items.join(known, "rect_id", "left").crossJoin(some).select("rect_id", F.when(unknown, F.col("some")).otherwise(F.coalesce("met", F.lit(False))).alias("dirty"))
 
 
 @query("j10_rect_overlap", f"WITH {RECTS_SQL} SELECT l.rect_id AS l_rect_id, count(*) AS n, CAST(sum(r.rect_id) AS BIGINT) AS ids FROM rects l JOIN rects r ON l.x < r.x + r.w AND r.x < l.x + l.w AND l.y < r.y + r.h AND r.y < l.y + l.h GROUP BY l.rect_id")
@@ -79,6 +122,18 @@ def j10(t: Tables) -> DataFrame:
     return overlapping_rects(t.model.rects, t.model.rects).groupBy("l_rect_id").agg(F.count(F.lit(1)).alias("n"), F.sum("r_rect_id").alias("ids"))
 
 
+_ITEMS = "SELECT o_orderkey AS rect_id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderkey % 8192 END AS x, o_custkey * 7 % 8192 AS y, CAST(16 AS BIGINT) AS w, CAST(16 AS BIGINT) AS h FROM orders"
+_DIRTY = "SELECT event_id AS rect_id, event_id * 131 % 8192 AS x, user_id * 37 % 8192 AS y, CAST(8 + event_id % 5 * 40 AS BIGINT) AS w, CAST(8 + user_id % 90 AS BIGINT) AS h FROM events WHERE event_type = 'purchase'"
+
+
+@query("j10_dirty_items", f"WITH i AS ({_ITEMS}), d AS ({_DIRTY}) SELECT rect_id, CASE WHEN x IS NULL THEN EXISTS (SELECT 1 FROM d) ELSE EXISTS (SELECT 1 FROM d WHERE i.x < d.x + d.w AND d.x < i.x + i.w AND i.y < d.y + d.h AND d.y < i.y + i.h) END AS dirty FROM i")
+def j10_dirty(t: Tables) -> DataFrame:
+    """Which tiles of known or unknown place a dirty rectangle touches."""
+    items = t["orders"].selectExpr("o_orderkey AS rect_id", "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderkey % 8192 END AS x", "o_custkey * 7 % 8192 AS y", "CAST(16 AS BIGINT) AS w", "CAST(16 AS BIGINT) AS h")
+    dirty = t["events"].filter("event_type = 'purchase'").selectExpr("event_id AS rect_id", "event_id * 131 % 8192 AS x", "user_id * 37 % 8192 AS y", "CAST(8 + event_id % 5 * 40 AS BIGINT) AS w", "CAST(8 + user_id % 90 AS BIGINT) AS h")
+    return dirty_items(items, dirty)
+
+
 _RANGES = "SELECT o_custkey AS layer_id, o_orderkey % 500 AS a, o_orderkey % 500 + 1 + o_orderkey % 7 AS b, o_orderkey AS id FROM orders"
 
 
