@@ -134,22 +134,22 @@ def j10_dirty(t: Tables) -> DataFrame:
     return dirty_items(items, dirty)
 
 
-_RANGES = "SELECT o_custkey AS layer_id, o_orderkey % 500 AS a, o_orderkey % 500 + 1 + o_orderkey % 7 AS b, o_orderkey AS id FROM orders"
+_RANGES = "SELECT o_custkey AS layer_id, o_orderkey % 500 AS a, o_orderkey % 500 + 1 + o_orderkey % 7 AS b, o_orderkey AS id, o_orderstatus AS state FROM orders"
 
 
-@query("j11_interval_overlap", f"WITH r AS ({_RANGES}) SELECT x.id, count(*) AS n FROM r x JOIN r y ON x.layer_id = y.layer_id AND x.a < y.b AND y.a < x.b AND y.id % 3 = 0 GROUP BY x.id")
+@query("j11_interval_overlap", f"WITH r AS ({_RANGES}) SELECT x.id, count(*) AS n FROM r x JOIN r y ON x.layer_id = y.layer_id AND x.a < y.b AND y.a < x.b AND y.state = 'P' GROUP BY x.id")
 def j11(t: Tables) -> DataFrame:
     """Event ranges that overlap dirty ones of their layer."""
-    r = t["orders"].selectExpr("o_custkey AS layer_id", "o_orderkey % 500 AS a", "o_orderkey % 500 + 1 + o_orderkey % 7 AS b", "o_orderkey AS id")
-    dirty = r.filter("id % 3 = 0").selectExpr("layer_id", "a AS da", "b AS db")
+    r = t["orders"].selectExpr("o_custkey AS layer_id", "o_orderkey % 500 AS a", "o_orderkey % 500 + 1 + o_orderkey % 7 AS b", "o_orderkey AS id", "o_orderstatus AS state")
+    dirty = r.filter("state = 'P'").selectExpr("layer_id", "a AS da", "b AS db")
     return r.join(dirty, "layer_id").filter("a < db AND da < b").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j12_work_list", f"WITH {SNAPSHOTS_SQL} SELECT n.kind, n.layer_id, n.tile_x, n.tile_y, n.bytes FROM new_tiles n JOIN old_tiles o USING (kind, layer_id, tile_x, tile_y) JOIN customer ON c_custkey = n.layer_id WHERE c_nationkey % 2 = 0")
+@query("j12_work_list", f"WITH {SNAPSHOTS_SQL} SELECT n.kind, n.layer_id, n.tile_x, n.tile_y, n.bytes FROM new_tiles n JOIN old_tiles o USING (kind, layer_id, tile_x, tile_y) JOIN customer ON c_custkey = n.layer_id WHERE c_acctbal > 0")
 def j12(t: Tables) -> DataFrame:
     """Work on tiles that a cache and a canvas both have; misses drop out."""
     old, new = t.model.snapshots
-    canvas = t["customer"].filter("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("layer_id"))
+    canvas = t["customer"].filter("c_acctbal > 0").select(F.col("c_custkey").alias("layer_id"))
     return new.join(old.select(*KEYS), KEYS).join(canvas, "layer_id").select(*KEYS, "bytes")
 
 

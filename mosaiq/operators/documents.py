@@ -68,11 +68,11 @@ def x20(t: Tables) -> DataFrame:
     return t["events"].withColumn("lang", lang).join(F.broadcast(table), ["event_type", "lang"], "left").select("event_id", F.coalesce("label", "event_type").alias("label"))
 
 
-@query("p18_freshness", "SELECT a.event_id, CASE WHEN b.event_id IS NULL THEN 'Missing' WHEN abs(a.value - b.value) > 1e-6 THEN 'Modified' WHEN a.props <> b.props THEN 'Content' ELSE 'Fresh' END AS state FROM events a LEFT JOIN (SELECT event_id + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS event_id, value, props FROM events WHERE event_id % 4 <> 1) b ON a.event_id = b.event_id")
+@query("p18_freshness", "SELECT a.event_id, CASE WHEN b.event_id IS NULL THEN 'Missing' WHEN abs(a.value - b.value) > 1e-6 THEN 'Modified' WHEN a.props <> b.props THEN 'Content' ELSE 'Fresh' END AS state FROM events a LEFT JOIN (SELECT event_id + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS event_id, value, props FROM events WHERE event_type <> 'error') b ON a.event_id = b.event_id")
 def p18(t: Tables) -> DataFrame:
     """What changed since a listing: time, then content."""
     e = t["events"]
-    seen = e.filter("event_id % 4 <> 1").selectExpr("event_id + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS event_id", "value AS was", "props AS props_was")
+    seen = e.filter("event_type <> 'error'").selectExpr("event_id + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS event_id", "value AS was", "props AS props_was")
     state = F.when(F.col("was").isNull(), "Missing").when(F.abs(F.col("value") - F.col("was")) > 1e-6, "Modified").when(F.col("props") != F.col("props_was"), "Content").otherwise("Fresh")
     return e.join(seen, "event_id", "left").select("event_id", state.alias("state"))
 
@@ -112,3 +112,18 @@ def ext_sessions(t: Tables) -> DataFrame:
 def ext_tumbling(t: Tables) -> DataFrame:
     w = t["events"].groupBy("event_type", F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return w.select("event_type", F.unix_timestamp("window.start").alias("day"), "n", "total")
+
+
+@query("x19_elapsed", "SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS since_last, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS since_first FROM events")
+def x19(t: Tables) -> DataFrame:
+    """Microseconds since a session's last event and since its first."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    session = Window.partitionBy("user_id")
+    return t["events"].select("event_id", (at - F.lag(at).over(session.orderBy("ts", "event_id"))).alias("since_last"), (at - F.min(at).over(session)).alias("since_first"))
+
+
+@query("x19_stale_outputs", "SELECT user_id, max(epoch_us(ts)) FILTER (event_type = 'click') IS NOT NULL AND coalesce(max(epoch_us(ts)) FILTER (event_type = 'click') > max(epoch_us(ts)) FILTER (event_type = 'purchase'), true) AS stale FROM events GROUP BY user_id")
+def x19_stale(t: Tables) -> DataFrame:
+    """An output is stale if its source was touched after it, or if it was never made."""
+    newest = t["events"].groupBy("user_id").agg(*(F.max(F.when(F.col("event_type") == kind, F.col("ts"))).alias(kind) for kind in ("click", "purchase")))
+    return newest.select("user_id", (F.col("click").isNotNull() & F.coalesce(F.col("click") > F.col("purchase"), F.lit(True))).alias("stale"))

@@ -190,7 +190,7 @@ PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
 def read_png(data: bytes) -> np.ndarray:
-    """The pixels (height, width, 4) of a PNG of eight bits a channel, with or without alpha, not interlaced."""
+    """The pixels (height, width, 4) of a PNG of eight bits a channel, gray or colour, with or without alpha, not interlaced."""
     if data[:8] != PNG_MAGIC:
         raise ValueError("not a PNG")
     at, packed, head = 8, b"", None
@@ -200,26 +200,30 @@ def read_png(data: bytes) -> np.ndarray:
         head = struct.unpack(">2I5B", body) if kind == b"IHDR" else head
         packed += body if kind == b"IDAT" else b""
     width, height, depth, color, _, _, interlaced = head
-    channels = {2: 3, 6: 4}.get(color)
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(color)
     if depth != 8 or channels is None or interlaced:
         raise ValueError("unsupported PNG")
     rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * channels)
-    above, out = np.zeros((width, channels), np.int64), np.full((height, width, 4), 255, np.uint8)
+    above, out = np.zeros((width, channels), np.int64), np.empty((height, width, channels), np.uint8)
     for y, (how, row) in enumerate(zip(rows[:, 0].tolist(), rows[:, 1:].reshape(height, width, channels).astype(np.int64), strict=True)):
         now = np.zeros((width, channels), np.int64)
         if how in (0, 2):
             now = row + above * (how == 2)
+        elif how == 1:
+            now = np.cumsum(row, axis=0)
         else:
             left = corner = np.zeros(channels, np.int64)
             for x in range(width):
                 up = above[x]
                 near = np.abs(np.stack([up - corner, left - corner, left + up - 2 * corner]))
                 paeth = np.where((near[0] <= near[1]) & (near[0] <= near[2]), left, np.where(near[1] <= near[2], up, corner))
-                left, corner = (row[x] + (left if how == 1 else (left + up) // 2 if how == 3 else paeth)) % 256, up
+                left, corner = (row[x] + ((left + up) // 2 if how == 3 else paeth)) % 256, up
                 now[x] = left
         above = now % 256
-        out[y, :, :channels] = above
-    return out
+        out[y] = above
+    alpha = out[..., -1:] if channels in (2, 4) else np.full((height, width, 1), 255, np.uint8)
+    colors = out[..., :3] if channels > 2 else np.repeat(out[..., :1], 3, axis=2)
+    return np.concatenate([colors, alpha], axis=2)
 
 
 def write_png(pixels: np.ndarray, filters: list[int]) -> bytes:

@@ -138,3 +138,21 @@ def test_png_filters():
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + bytes(4)
     made = readers.PNG_MAGIC + chunk(b"IHDR", struct.pack(">2I5B", 5, 4, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
     assert (readers.read_png(made) == px).all()
+
+
+def test_gray_png():
+    """Gray, with and without alpha, in rows of every filter that sums along a row."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from mosaiq.sources import readers
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + bytes(4)
+    made = lambda color, rows: readers.PNG_MAGIC + chunk(b"IHDR", struct.pack(">2I5B", 3, 2, 8, color, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    gray = readers.read_png(made(0, bytes([0, 10, 20, 250, 1, 250, 5, 3])))
+    assert gray.tolist() == [[[v, v, v, 255] for v in row] for row in ([10, 20, 250], [250, 255, 2])]
+    both = readers.read_png(made(4, bytes([0, 1, 100, 2, 200, 3, 255, 2, 1, 1, 1, 100, 1, 1])))
+    assert both.tolist() == [[[v, v, v, a] for v, a in row] for row in ([(1, 100), (2, 200), (3, 255)], [(2, 101), (3, 44), (4, 0)])]
+    assert both.dtype == np.uint8
