@@ -27,9 +27,11 @@ WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N
 #: No word of the pattern reaches across two of these pieces, and none depends on a neighbour.
 PIECES = rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Pieces a worker remembers before it starts anew.
-MEMO = 900_000
+MEMO = 800_000
 #: Texts that are encoded together.
 BATCH = 100
+#: Texts whose results go on together.
+FRAME = 500
 
 
 def byte_letters() -> dict[str, int]:
@@ -296,7 +298,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon_words: int = 50_000) -> Data
             ids = [i for k in range(0, len(texts), BATCH) for i in encoder.encode_batch(texts[k : k + BATCH])]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "decoded": [encoder.decode(i) for i in ids]})
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id bigint, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id bigint, ids array<int>, decoded string")
 
 
 def _encoder_for(docs: DataFrame, tokenizer: str, lexicon_words: int):  # noqa: ANN202
@@ -327,11 +329,15 @@ def bpe_digest(docs: DataFrame, tokenizer: str, lexicon_words: int = 50_000, ids
         encoder = make()
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            rows = []
-            texts = batch["text"].tolist()
-            for found in (i for k in range(0, len(texts), BATCH) for i in encoder.encode_batch(texts[k : k + BATCH])):
-                rows.append((len(found), sha(",".join(map(encoder.names.__getitem__, found))), sha(encoder.decode(found)), *([found] if ids else [])))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])])
-            yield out.assign(doc_id=batch["doc_id"].to_numpy())
-
-    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, kind)
+            texts, doc_ids = batch["text"].tolist(), batch["doc_id"]
+            del batch
+            # what is done goes on at once, so that few ids are held
+            for a in range(0, len(texts), FRAME):
+                rows = []
+                for k in range(a, min(len(texts), a + FRAME), BATCH):
+                    for found in encoder.encode_batch(texts[k : min(k + BATCH, a + FRAME)]):
+                        rows.append((len(found), sha(",".join(map(encoder.names.__getitem__, found))), sha(encoder.decode(found)), *([np.array(found, np.int32)] if ids else [])))
+                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])])
+                yield out.assign(doc_id=doc_ids[a : a + FRAME].to_numpy())
+
+    return docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, kind)

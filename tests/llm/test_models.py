@@ -84,3 +84,10 @@ def test_long_merge(n):
     word = bytes(r.choice(b"aaabbthe er\xc3\xa9") for _ in range(n))
     ids = model.merge(word)
     assert ids == model._merge_long([model.first[b] for b in word])
+
+
+def test_ids_that_are_no_numbers(spark):
+    """They count as unknown; an empty table gives no rows."""
+    df = spark.createDataFrame([("k1", "some text"), ("7", "more"), (None, None)], "doc_id string, text string")
+    assert sorted(str(r.doc_id) for r in bpe.bpe_digest(df, PATH, 100).collect()) == ["7", "None", "None"]
+    assert bpe.bpe_digest(df.limit(0), PATH, 100).count() == 0 and bpe.encode(df.limit(0), PATH, 100).count() == 0
