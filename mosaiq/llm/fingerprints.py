@@ -106,7 +106,7 @@ def fingerprint_digest(docs: DataFrame, bits: int = 2) -> DataFrame:
     table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id").alias("doc_id"), text.alias("text"))
     full = with_next(rows, lambda t: sketch(t, bits))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,15 @@ SENTENCES = {
     "unlicense": "This is free and unencumbered software released into the public domain without license.",
     "spdx-mit": "SPDX-License-Identifier: MIT",
     "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "zlib-origin": "This software is provided as-is, without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "lgpl-free-21": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-free-3": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "epl-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "mit-under": "This project is licensed under the MIT License.",
+    "apache-under": "This project is licensed under the Apache License 2.0.",
 }
 # The license that follows when these sentences stand in this order, others between them or not.
 RULES = [
@@ -60,6 +70,14 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
     ("CC0-1.0", ["cc0-notice"]),
     ("Unlicense", ["unlicense"]),
+    ("ISC", ["isc-grant"]),
+    ("Zlib", ["zlib-origin", "zlib-grant"]),
+    ("LGPL-2.1-or-later", ["lgpl-free-21"]),
+    ("LGPL-3.0-or-later", ["lgpl-free-3"]),
+    ("AGPL-3.0-or-later", ["agpl-free"]),
+    ("EPL-2.0", ["epl-notice"]),
+    ("MIT", ["mit-under"]),
+    ("Apache-2.0", ["apache-under"]),
 ]
 NAMES = list(SENTENCES)
 #: Every known sentence has one of these, so that a text without any needs no splitting.
@@ -94,47 +112,77 @@ def known_pattern() -> str:
     return r"\|(?:" + "|".join(s.replace(" ", "[ |]") for s in sorted(known(), key=len, reverse=True)) + r")(?=\|)"
 
 
-def follows(sentences: Column, ids: list[str]) -> Column:
-    """Whether the sentences of a rule stand in this order in an array of identifiers: a count of those met so far."""
-    wanted = [NAMES.index(x) + 1 for x in ids]
-    if len(wanted) == 1:
-        return F.array_contains(sentences, wanted[0])
-    table = F.array(*map(F.lit, [*wanted, 0]))
-    return F.aggregate(sentences, F.lit(0), lambda met, x: met + F.when(F.element_at(table, met + 1) == x, 1).otherwise(0)) == len(wanted)
+def occurrences(sentences: Column, ids: list[str]) -> Column:
+    """How often the sentences of a rule stand in this order in an array of identifiers: a count of those met so far, over and over."""
+    table = F.array(*(F.lit(NAMES.index(x) + 1) for x in ids))
+    return F.floor(F.aggregate(sentences, F.lit(0), lambda met, x: met + F.when(F.element_at(table, met % len(ids) + 1) == x, 1).otherwise(0)) / len(ids))
 
 
-def rule_pattern(ids: list[str]) -> str:
-    """The same for SQL, over identifiers joined by commas."""
-    return ",".join(["(^|,)" + str(NAMES.index(ids[0]) + 1), *("([0-9]+,)*" + str(NAMES.index(x) + 1) for x in ids[1:])]) + "(,|$)"
+def occurrences_sql(ids: list[str]) -> str:
+    """The same of an array named ids."""
+    table = [NAMES.index(x) + 1 for x in ids]
+    return f"(list_reduce(list_prepend(0, ids), lambda met, x: met + CASE WHEN {table}[met % {len(ids)} + 1] = x THEN 1 ELSE 0 END) // {len(ids)})"
+
+
+def covering(ids: list[str]) -> list[list[str]]:
+    """The rules that have all sentences of a rule, in this order, and others."""
+
+    def within(other: list[str]) -> bool:
+        rest = iter(other)
+        return len(other) > len(ids) and all(x in rest for x in ids)
+
+    return [other for _, other in RULES if within(other)]
+
+
+# The field that declares an expression of license identifiers, and the words that join them.
+IDENTIFIER = r"[A-Za-z0-9]+(?:[.+-]+[A-Za-z0-9]+)*[+]?"
+EXPRESSION = rf"SPDX-License-Identifier:[ \t]*((?:[(][ \t]*)*{IDENTIFIER}(?:[ \t]*[)])*(?:[ \t]+(?:AND|OR|WITH)[ \t]+(?:[(][ \t]*)*{IDENTIFIER}(?:[ \t]*[)])*)*)"
+EXCEPTION, JOINED = rf"WITH[ \t]+{IDENTIFIER}", "AND|OR"
+
+
+def declared(text: Column) -> Column:
+    """The identifiers of the expressions that a text declares; exceptions and the words between them are none."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(EXPRESSION), F.lit(1)), lambda e: F.regexp_replace(e, EXCEPTION, " "))
+    ids = F.flatten(F.transform(parts, lambda e: F.regexp_extract_all(e, F.lit(IDENTIFIER), F.lit(0))))
+    return F.filter(ids, lambda x: ~x.isin(*JOINED.split("|")))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): n_sentences known, their ids in order, and the licenses whose rules match.
 
-    Null and empty texts, and texts without a known sentence, have 0 and two
-    empty strings. The tables of sentences and rules are fixed, so the map is
-    a literal of the plan.
+    A rule whose sentences all belong to a longer rule that matches as often
+    doesn't count. The identifiers of SPDX expressions are licenses too,
+    whatever they are. Null and empty texts, and texts without either, have 0
+    and two empty strings. The tables of sentences and rules are fixed, so the
+    map is a literal of the plan.
     """
     table = F.create_map(*(F.lit(x) for pair in known().items() for x in pair))
     text = F.coalesce(F.col("text"), F.lit(""))
     ids = F.transform(F.regexp_extract_all(marked(text), F.lit(known_pattern()), F.lit(0)), lambda s: F.element_at(table, F.trim(F.translate(s, "|", " "))))
-    found = docs.select("doc_id", F.when(F.lower(text).rlike(ANCHORS), ids).otherwise(F.array().cast("array<int>")).alias("ids"))
-    hits = F.array(*(F.when(follows(F.col("ids"), ids), F.lit(name)) for name, ids in RULES))
-    licenses = F.array_join(F.array_sort(F.array_distinct(F.array_compact(hits))), ",")
-    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.when(F.size("ids") > 0, licenses).otherwise("").alias("licenses"))
+    none = F.array().cast("array<string>")
+    found = docs.select("doc_id", F.when(F.lower(text).rlike(ANCHORS), ids).otherwise(F.array().cast("array<int>")).alias("ids"), F.when(text.contains("SPDX-License-Identifier"), declared(text)).otherwise(none).alias("declared"))
+
+    def hit(name: str, ids: list[str]) -> Column:
+        times = occurrences(F.col("ids"), ids)
+        alone = [times > occurrences(F.col("ids"), other) for other in covering(ids)]
+        return F.when(reduce(Column.__and__, [times > 0, *alone]), F.lit(name))
+
+    hits = F.when(F.size("ids") > 0, F.array_compact(F.array(*(hit(*rule) for rule in RULES)))).otherwise(none)
+    licenses = F.array_join(F.array_sort(F.array_distinct(F.concat(hits, "declared"))), ",")
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), licenses.alias("licenses"))
 
 
 def licenses_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = ", ".join(f"({quote(k)}, {v})" for k, v in known().items())
-    rules = ", ".join(f"({quote(name)}, {quote(rule_pattern(ids))})" for name, ids in RULES)
+    hits = [f"CASE WHEN {' AND '.join([occurrences_sql(ids) + ' > 0', *(f'{occurrences_sql(ids)} > {occurrences_sql(other)}' for other in covering(ids))])} THEN {quote(name)} END" for name, ids in RULES]
     return f"""
-WITH known(sentence, id) AS (VALUES {table}), rules(name, pattern) AS (VALUES {rules}),
+WITH known(sentence, id) AS (VALUES {table}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 parts AS (SELECT r, generate_subscripts(p, 1) AS k, unnest(p) AS s FROM
   (SELECT r, string_split_regex(regexp_replace(text, '([.!?:;])[ \\t\\n\\x0B\\f\\r]+', E'\\\\1\\n', 'g'), E'\\n+') AS p FROM d)),
 hit AS (SELECT r, k, id FROM parts JOIN known ON sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))),
-seq AS (SELECT d.r, d.doc_id, count(id) AS n_sentences, coalesce(string_agg(id::VARCHAR, ',' ORDER BY k), '') AS sentence_ids
-  FROM d LEFT JOIN hit ON d.r = hit.r GROUP BY ALL)
-SELECT doc_id, n_sentences, sentence_ids, coalesce((SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM rules
-  WHERE regexp_matches(sentence_ids, pattern)), '') AS licenses FROM seq"""
+seq AS (SELECT d.r, d.doc_id, any_value(d.text) AS text, count(id) AS n_sentences, coalesce(list(id ORDER BY k) FILTER (id IS NOT NULL), []) AS ids
+  FROM d LEFT JOIN hit ON d.r = hit.r GROUP BY d.r, d.doc_id),
+named AS (SELECT *, list_concat([{', '.join(hits)}], list_filter(flatten(list_transform(regexp_extract_all(text, {quote(EXPRESSION)}, 1), lambda e: regexp_extract_all(regexp_replace(e, {quote(EXCEPTION)}, ' ', 'g'), {quote(IDENTIFIER)}))), lambda x: x NOT IN ('AND', 'OR'))) AS all_names FROM seq)
+SELECT doc_id, n_sentences, array_to_string(ids, ',') AS sentence_ids, array_to_string(list_sort(list_distinct(list_filter(all_names, lambda x: x IS NOT NULL))), ',') AS licenses FROM named"""

@@ -188,3 +188,28 @@ def test_wrapped_licenses(spark, mark):
 @pytest.mark.parametrize("operator", [licenses.scan_licenses, secrets.secret_digest, pii.pii_digest, fingerprints.fingerprint_digest])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_contained_rules_and_expressions(spark):
+    two = [licenses.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary")]
+    three = [*two, licenses.SENTENCES["bsd-name"]]
+    texts = {
+        "BSD-2-Clause": " ".join(two), "BSD-3-Clause": " ".join(three), "BSD-2-Clause,BSD-3-Clause": " ".join(three + two),
+        "Apache-2.0,MIT": "# SPDX-License-Identifier: MIT OR Apache-2.0\ncode", "GPL-2.0-or-later,LGPL-2.1+,Zlib": "/* SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 AND ( LGPL-2.1+ OR Zlib )) */",
+        "0BSD": "SPDX-License-Identifier: 0BSD. More words OR not", "": "SPDX-License-Identifier: ",
+    }
+    df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id bigint, text string")
+    assert {r.doc_id: r.licenses for r in licenses.scan_licenses(df).collect()} == dict(enumerate(texts))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts.values())))
+    at = [d[0] for d in con.execute(licenses.licenses_sql()).description].index("licenses")
+    assert {r[0]: r[at] for r in con.fetchall()} == dict(enumerate(texts))
+
+
+def test_fingerprints_of_ids_that_are_no_numbers(spark):
+    df = spark.createDataFrame([("k1", "some text of words"), ("7", "more of it"), (None, None)], "doc_id string, text string")
+    got = fingerprints.fingerprint_digest(df).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["7", "None", "None"]
