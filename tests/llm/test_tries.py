@@ -53,7 +53,7 @@ def made(seed, n=160):
         deep = r.choice([0, 1, 2, 3, 5, 9])
         turns = [(r.choice(["user", "assistant", None]), r.choice(["a b", "a b\tc", "", None, "x\x0by z w", "é\xa0ü"])) for _ in range(deep)]
         rows += [(c, k if k or r.random() < 0.5 else None, *t) for k, t in enumerate(turns)]
-    rows += [(7000, k, "user", f"deep {k}") for k in range(150)] + [(7020, k, "user", f"deep {k}" if k < 120 else f"other {k}") for k in range(140)]
+    rows += [(7000, k, "user", f"deep {k}") for k in range(40)] + [(7020, k, "user", f"deep {k}" if k < 30 else f"other {k}") for k in range(36)]
     r.shuffle(rows)
     return rows
 
