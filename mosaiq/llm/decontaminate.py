@@ -4,9 +4,13 @@ One pass over the corpus counts passages and adds up a randomised sketch of
 their TF-IDF matrix A (passages by words of the benchmark): Y = A'A Omega. Its
 Nystroem factors are the singular vectors; no task holds more than words by
 rank numbers, and no second pass is needed since the weights are diagonal and
-can be put in afterwards. A second pass maps windows of every document into
-that space and compares the words themselves with the items that the window's
-words allow, those of near direction first.
+can be put in afterwards. A second pass searches every document in two ways:
+
+* Windows that hold a key word of an item are compared word by word with it,
+  so no text that has enough of the item's own words is missed.
+* Windows of about an item's length whose direction in the space is near the
+  item's are candidates for a paraphrase in other words: a word that the item
+  doesn't have stands for those of its words whose directions are near.
 """
 
 from __future__ import annotations
@@ -29,6 +33,12 @@ WINDOW, STRIDE = 64, 32
 RANK = 64
 #: Share of an item's words in common with a stretch of text: enough alone, and enough if the item's answer is there whole.
 ALONE, WITH_ANSWER = 0.8, 0.6
+#: Cosine from which a window is a candidate for an item, and a word stands for another; passages that such words have at least.
+COSINE, NEAR_WORD, KNOWN = 0.5, 0.7, 3
+#: Share of an item's words that a paraphrase still has in order.
+UNCHANGED = 0.5
+#: Words of a block, blocks of the longest window, blocks at a time.
+BLOCK, LONGEST, SPAN = 8, 32, 8192
 #: Items that are searched for at a time.
 ITEM_BLOCK = 5000
 FLUSH = 60_000
@@ -39,7 +49,7 @@ def tokens(text: str) -> list[bytes]:
     return text.lower().encode().translate(FOLD).split()
 
 
-def lcs(at: dict[bytes, int], n: int, words: list[bytes]) -> int:
+def lcs(at: dict, n: int, words: list) -> int:
     """Length of the longest common subsequence; at has the places of each word of the other sequence as bits."""
     full = (1 << n) - 1
     row = full
@@ -50,8 +60,8 @@ def lcs(at: dict[bytes, int], n: int, words: list[bytes]) -> int:
     return n - row.bit_count()
 
 
-def places(words: list[bytes]) -> dict[bytes, int]:
-    at: dict[bytes, int] = {}
+def places(words: list) -> dict:
+    at: dict = {}
     for k, w in enumerate(words):
         at[w] = at.get(w, 0) | 1 << k
     return at
@@ -114,12 +124,37 @@ class Space:
     key_items: np.ndarray
     words: list[np.ndarray]  # by item
     answers: list[np.ndarray]
+    directions: np.ndarray  # unit vectors of the words, zero for rare ones
+    scales: np.ndarray  # by item, the blocks of its windows
+
+    def __post_init__(self) -> None:
+        # word -1, which is none of the vocabulary, has no direction
+        self.basis, self.directions = (np.vstack([x, np.zeros((1, x.shape[1]), x.dtype)]) for x in (self.basis, self.directions))
 
     def may_hold(self, present: np.ndarray, item: int) -> bool:
         """Whether the words alone allow that text has the item."""
         share = present[self.words[item]].mean()
         return share >= ALONE or share >= WITH_ANSWER and bool(present[self.answers[item]].all())
 
+    def near_share(self, item: int, ids: np.ndarray) -> float:
+        """The share of the item's words that a stretch of ids of about its length has in order, near words included; 0 if it isn't enough."""
+        own = self.words[item]
+        n = len(own)
+        if np.isin(own, ids).mean() < UNCHANGED:
+            return 0.0
+        exact = places(own.tolist())
+        others = np.array([w for w in set(ids.tolist()) if w not in exact], np.int64)
+        near = self.directions[others] @ self.directions[own].T >= NEAR_WORD
+        if (np.isin(own, ids) | near.any(axis=0)).mean() < ALONE:
+            return 0.0
+        both = exact | {int(w): sum(1 << int(k) for k in np.flatnonzero(row)) for w, row in zip(others, near, strict=True) if row.any()}
+        size, step, best = -(-5 * n // 4), max(1, n // 8), 0.0
+        for a in range(0, max(1, len(ids) - size + step), step):
+            part = ids[a : a + size].tolist()
+            if lcs(exact, n, part) >= UNCHANGED * n and (got := lcs(both, n, part) / n) >= ALONE:
+                best = max(best, got)
+        return best
+
 
 def _terms(row: np.ndarray, word: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, word, count) by row; word -1 is none of the vocabulary."""
@@ -205,13 +240,17 @@ def fit_space(docs: DataFrame, items: list[Item], rank: int = RANK) -> Space:
     vals, vecs = np.linalg.eigh((inner + inner.T) / 2)
     good = vals > vals.max() * 1e-10
     u, s, _ = np.linalg.svd(y @ (vecs[:, good] / np.sqrt(vals[good])), full_matrices=False)
-    basis = (idf[:, None] * u[:, : min(rank, int((s > 0).sum()))]).astype(np.float32)
+    kept = min(rank, int((s > 0).sum()))
+    basis = (idf[:, None] * u[:, :kept]).astype(np.float32)
+    directions = u[:, :kept] * s[:kept]
+    directions *= (df >= KNOWN)[:, None] / np.maximum(np.linalg.norm(directions, axis=1, keepdims=True), 1e-12)
     _, vectors = _sum_rows(own[0], own[2][:, None] * basis[own[1]])
     words, answers = ([np.array([vocab[w] for w in x], np.int64) for x in side] for side in ([i.words for i in items], [i.answer for i in items]))
     keys = sorted({(w, k) for k, (ws, an) in enumerate(zip(words, answers, strict=True)) for w in key_words(ws, an, df)})
     ends = np.cumsum(np.bincount([w for w, _ in keys], minlength=d))
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    return Space(vocab, basis, unit.astype(np.float32), ends, np.array([k for _, k in keys], np.int64), words, answers)
+    scales = np.array([min(LONGEST, 2 << max(0, round(math.log2(len(w) / (2 * BLOCK))))) for w in words], np.int64)
+    return Space(vocab, basis, unit.astype(np.float32), ends, np.array([k for _, k in keys], np.int64), words, answers, directions.astype(np.float32), scales)
 
 
 def key_words(words: np.ndarray, answer: np.ndarray, df: np.ndarray) -> set[int]:
@@ -223,11 +262,52 @@ def key_words(words: np.ndarray, answer: np.ndarray, df: np.ndarray) -> set[int]
     return {*ids[order[:enough]].tolist(), int(answer[np.lexsort((answer, df[answer]))[0]])}
 
 
+def nominate(space: Space, coded: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    """(text, place, item) for windows of about an item's length whose direction is near the item's."""
+    pad = int(space.scales.max())
+    sizes = np.array([-(-len(ids) // BLOCK) + pad for ids in coded])
+    first = np.cumsum(sizes) - sizes
+    flat = np.full(int(sizes.sum()) * BLOCK, -1)
+    for ids, k in zip(coded, (first * BLOCK).tolist(), strict=True):
+        flat[k : k + len(ids)] = ids
+    of_scale = [(int(k), np.flatnonzero(space.scales == k)) for k in np.unique(space.scales)]
+    for a in range(0, len(flat) // BLOCK, SPAN):
+        part = flat[a * BLOCK : (a + SPAN + pad) * BLOCK].reshape(-1, BLOCK)
+        sums = space.basis[part[:, 0]]
+        for k in range(1, BLOCK):
+            sums += space.basis[part[:, k]]
+        width = 1
+        for scale, items in of_scale:
+            while width < scale:
+                sums[:-width] += sums[width:]
+                width *= 2
+            at = np.arange(0, min(SPAN, len(sums)), scale // 2)
+            vectors = sums[at]
+            vectors /= np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), 1e-12)[:, None]
+            win, i = np.nonzero(vectors @ space.items[items].T >= COSINE)
+            # the padding is no shorter than a window, so one that ends in a text has words of no other
+            place = (a + at[win]) * BLOCK
+            text = np.searchsorted(first * BLOCK, place + scale * BLOCK - 1, side="right") - 1
+            yield from zip(text.tolist(), (place - first[text] * BLOCK).tolist(), items[i].tolist(), strict=True)
+
+
 def search_texts(space: Space, items: list[Item], texts: list[str]) -> list[dict[int, float]]:
     """For each text the items found in it, and the share of their words in common."""
-    found: list[dict[int, float]] = [{} for _ in texts]
     split = [tokens(t) for t in texts]
     coded = [np.array([space.vocab.get(w, -1) for w in ws], np.int64) for ws in split]
+    found = search_words(space, items, split, coded)
+    for d, place, i in nominate(space, coded):
+        item, hit = items[i], found[d]
+        if item.item_id not in hit:
+            n, end = len(item.words), place + int(space.scales[i]) * BLOCK
+            if share := space.near_share(i, coded[d][max(0, place - n) : end + n]):
+                hit[item.item_id] = share
+    return found
+
+
+def search_words(space: Space, items: list[Item], split: list[list[bytes]], coded: list[np.ndarray]) -> list[dict[int, float]]:
+    """The items of which a text has enough words, found by their key words."""
+    found: list[dict[int, float]] = [{} for _ in split]
     many = np.append(np.diff(np.concatenate([[0], space.key_ends])), 0)  # the last is for words of no item
     starts, docs, rows, words, n = [], [], [], [], 0
     for d, ids in enumerate(coded):
@@ -242,24 +322,16 @@ def search_texts(space: Space, items: list[Item], texts: list[str]) -> list[dict
             n += 1
     if not n:
         return found
-    row, word, count = _terms(np.concatenate(rows), np.concatenate(words), len(space.vocab))
+    row, word = np.concatenate(rows), np.concatenate(words)
     for a in range(0, n, 2000):
-        b = min(n, a + 2000)
-        low, high = np.searchsorted(row, (a, b))
-        which, vectors = _sum_rows(row[low:high], count[low:high, None] * space.basis[word[low:high]])
-        cosine = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)) @ space.items.T
+        low, high = np.searchsorted(row, (a, min(n, a + 2000)))
         # items with a key word in the window
         r, w = row[low:high], word[low:high]
         times = many[w]
         at = np.repeat(space.key_ends[w] - times, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        keyed = np.zeros(cosine.shape, bool)
-        keyed[np.searchsorted(which, np.repeat(r, times)), space.key_items[at]] = True
+        pairs = np.unique(np.repeat(r, times) * len(items) + space.key_items[at])
         last, present = -1, np.zeros(0, bool)
-        # all of them, the nearest of a window first: the cosine only orders them, since other words of a window can turn it away from what it holds
-        keyed_at, keyed_item = np.nonzero(keyed)
-        near_first = np.lexsort((-cosine[keyed_at, keyed_item], keyed_at))
-        for k, i in zip(keyed_at[near_first].tolist(), keyed_item[near_first].tolist()):  # noqa: B905
-            win = int(which[k])
+        for win, i in zip((pairs // len(items)).tolist(), (pairs % len(items)).tolist()):  # noqa: B905
             item, hit, text = items[i], found[docs[win]], coded[docs[win]]
             if hit.get(item.item_id, 0) >= 1:
                 continue
@@ -290,7 +362,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with item_ids (array, sorted) and best (the largest share, 0 without items) added.
 
     A document is contaminated by an item if a stretch of it has 0.8 of the
-    item's words in order, or 0.6 and the whole answer. Null and empty texts,
+    item's words in order, or 0.6 and the whole answer; or if it has half of
+    them in order, 0.8 with words that the space holds for near, and its
+    direction is near the item's. Only words of the benchmark that the corpus
+    has in KNOWN passages have directions. Null and empty texts,
     and all texts if the benchmark is empty, have no items. Repeated rows get
     equal results; columns of these names are replaced, others stay. Texts
     are compared by words in lower case without punctuation.

@@ -92,3 +92,61 @@ def test_short_items_among_other_words(spark):
 def test_empty(spark, docs, bench):
     out = dc.contamination_digest(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).collect()
     assert [(r.doc_id, r.contaminated) for r in out] == [(i, False) for i, _ in docs]
+
+
+def synonym_tables(seed=3):
+    """Facts whose words have two forms each; documents have a third of them in the second form, every third document out of order."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(7))
+    facts = [[(word(), word()) for _ in range(r.choice([20, 36, 56]))] for _ in range(30)]
+    common = [word() for _ in range(40)]
+    corpus = [(k, " ".join(r.choice(c) for c in facts[k % 30])) for k in range(600)]
+    corpus += [(2000 + k, " ".join(r.choice(common) for _ in range(60))) for k in range(60)]
+    items = [(k, " ".join(a for a, _ in f)) for k, f in enumerate(facts)]
+    items += [(100 + k, " ".join(b for _, b in r.sample(f, len(f)))) for k, f in enumerate(facts)]
+    docs, want = [], {}
+    for k in range(120):
+        f = facts[k % 30]
+        other = set(r.sample(range(len(f)), len(f) // 3))
+        text = [c[j in other] for j, c in enumerate(f)]
+        if k % 4 == 3:
+            r.shuffle(text)
+        fill = [[r.choice(common) for _ in range(r.randrange(60))] for _ in range(2)]
+        docs.append((1000 + k, " ".join(fill[0] + text + fill[1])))
+        want[1000 + k] = {k % 30} if k % 4 < 3 else set()
+    return corpus, docs, items, want
+
+
+def facts_of(found):
+    return [set(x) & set(range(30)) for x in found]
+
+
+def test_other_words_are_found_through_the_space(spark, monkeypatch):
+    corpus, docs, items, want = synonym_tables()
+    bench = dc.read_items(spark.createDataFrame(items, "item_id bigint, text string"))
+    space = dc.fit_space(spark.createDataFrame(corpus + docs, "doc_id bigint, text string"), bench)
+    texts, truth = [t for _, t in docs], [want[i] for i, _ in docs]
+    got = facts_of(dc.search_texts(space, bench, texts))
+    assert all(g <= t for g, t in zip(got, truth, strict=True))
+    assert sum(map(len, got)) >= 0.9 * sum(map(len, truth))
+    with monkeypatch.context() as m:  # every window against every item
+        m.setattr(dc, "COSINE", -2.0)
+        full = facts_of(dc.search_texts(space, bench, texts))
+    assert all(g <= f for g, f in zip(got, full, strict=True))
+    assert sum(map(len, got)) >= 0.9 * sum(map(len, full))
+    space.basis[:], space.directions[:] = 0, 0
+    blind = facts_of(dc.search_texts(space, bench, texts))  # only those with enough of the item's own words
+    plain = [{x.item_id for x in bench if x.item_id < 30 and x.share(w, 0, len(w))} for w in map(dc.tokens, texts)]
+    assert blind == plain
+    assert sum(map(len, got)) >= 3 * sum(map(len, blind))
+
+
+def test_places_in_long_and_empty_texts(spark):
+    corpus, docs, items, want = synonym_tables()
+    bench = dc.read_items(spark.createDataFrame(items, "item_id bigint, text string"))
+    space = dc.fit_space(spark.createDataFrame(corpus + docs, "doc_id bigint, text string"), bench)
+    alone = set(dc.search_texts(space, bench, [docs[0][1]])[0])
+    assert alone >= want[1000]
+    filler = "nothing " * (dc.SPAN * dc.BLOCK - 100)  # the passage stands across two spans
+    together = dc.search_texts(space, bench, ["", docs[0][1], "", filler + docs[0][1], "x"])
+    assert [set(x) for x in together] == [set(), alone, set(), alone, set()]
