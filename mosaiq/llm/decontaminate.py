@@ -34,11 +34,13 @@ RANK = 64
 #: Share of an item's words in common with a stretch of text: enough alone, and enough if the item's answer is there whole.
 ALONE, WITH_ANSWER = 0.8, 0.6
 #: Cosine from which a window is a candidate for an item, and a word stands for another; passages that such words have at least.
-COSINE, NEAR_WORD, KNOWN = 0.5, 0.7, 3
+COSINE, NEAR_WORD, KNOWN = 0.7, 0.7, 3
 #: Share of an item's words that a paraphrase still has in order.
 UNCHANGED = 0.5
 #: Words of a block, blocks of the longest window, blocks at a time.
 BLOCK, LONGEST, SPAN = 8, 32, 8192
+#: Words of 64 bits that say which of an item's words a stretch can't have.
+BITS = 8
 #: Items that are searched for at a time.
 ITEM_BLOCK = 5000
 FLUSH = 60_000
@@ -126,10 +128,23 @@ class Space:
     answers: list[np.ndarray]
     directions: np.ndarray  # unit vectors of the words, zero for rare ones
     scales: np.ndarray  # by item, the blocks of its windows
+    bits: np.ndarray = field(init=False)  # of a word
+    item_bits: np.ndarray = field(init=False)
+    at: list[dict[int, int]] = field(init=False)  # by item, the places of its words as bits
 
     def __post_init__(self) -> None:
-        # word -1, which is none of the vocabulary, has no direction
+        # word -1, which is none of the vocabulary, has no direction and no bits
         self.basis, self.directions = (np.vstack([x, np.zeros((1, x.shape[1]), x.dtype)]) for x in (self.basis, self.directions))
+        k = np.arange(len(self.vocab))
+        self.bits = np.zeros((len(k) + 1, BITS), np.uint64)
+        self.bits[k, k // 64 % BITS] = np.uint64(1) << (k % 64).astype(np.uint64)
+        self.at = [places(w.tolist()) for w in self.words]
+        self.item_bits = np.array([np.bitwise_or.reduce(self.bits[w], axis=0) for w in self.words])
+
+    def margin(self, item: int) -> int:
+        """How many words beside a window the item's words are looked for."""
+        n = len(self.words[item])
+        return max(n // 2, n - int(self.scales[item]) * BLOCK // 2)
 
     def may_hold(self, present: np.ndarray, item: int) -> bool:
         """Whether the words alone allow that text has the item."""
@@ -140,9 +155,9 @@ class Space:
         """The share of the item's words that a stretch of ids of about its length has in order, near words included; 0 if it isn't enough."""
         own = self.words[item]
         n = len(own)
-        if np.isin(own, ids).mean() < UNCHANGED:
+        exact = self.at[item]
+        if lcs(exact, n, ids.tolist()) < UNCHANGED * n:
             return 0.0
-        exact = places(own.tolist())
         others = np.array([w for w in set(ids.tolist()) if w not in exact], np.int64)
         near = self.directions[others] @ self.directions[own].T >= NEAR_WORD
         if (np.isin(own, ids) | near.any(axis=0)).mean() < ALONE:
@@ -270,23 +285,33 @@ def nominate(space: Space, coded: list[np.ndarray]) -> Iterator[tuple[int, int,
     flat = np.full(int(sizes.sum()) * BLOCK, -1)
     for ids, k in zip(coded, (first * BLOCK).tolist(), strict=True):
         flat[k : k + len(ids)] = ids
+    # items, how many of their words may be missing; all may where the margin is wider than a window
+    lack = np.array([len(w) * (1 - UNCHANGED) if space.margin(k) <= space.scales[k] * BLOCK else np.inf for k, w in enumerate(space.words)])
     of_scale = [(int(k), np.flatnonzero(space.scales == k)) for k in np.unique(space.scales)]
-    for a in range(0, len(flat) // BLOCK, SPAN):
-        part = flat[a * BLOCK : (a + SPAN + pad) * BLOCK].reshape(-1, BLOCK)
-        sums = space.basis[part[:, 0]]
+    total = len(flat) // BLOCK
+    for a in range(0, total, SPAN):
+        low = max(0, a - pad)
+        part = flat[low * BLOCK : (a + SPAN + 2 * pad) * BLOCK].reshape(-1, BLOCK)
+        sums, seen = space.basis[part[:, 0]], space.bits[part[:, 0]]
         for k in range(1, BLOCK):
             sums += space.basis[part[:, k]]
+            seen |= space.bits[part[:, k]]
         width = 1
+        seen[:-1] |= seen[1:]  # always of twice the width
         for scale, items in of_scale:
             while width < scale:
                 sums[:-width] += sums[width:]
                 width *= 2
-            at = np.arange(0, min(SPAN, len(sums)), scale // 2)
+                seen[:-width] |= seen[width:]
+            at = np.arange(a, min(a + SPAN, total), scale // 2) - low
             vectors = sums[at]
             vectors /= np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), 1e-12)[:, None]
             win, i = np.nonzero(vectors @ space.items[items].T >= COSINE)
+            around = seen[at[win]] | seen[np.maximum(at[win] - scale, 0)]
+            enough = np.bitwise_count(space.item_bits[items[i]] & ~around).sum(axis=1) <= lack[items[i]]
+            win, i = win[enough], i[enough]
             # the padding is no shorter than a window, so one that ends in a text has words of no other
-            place = (a + at[win]) * BLOCK
+            place = (low + at[win]) * BLOCK
             text = np.searchsorted(first * BLOCK, place + scale * BLOCK - 1, side="right") - 1
             yield from zip(text.tolist(), (place - first[text] * BLOCK).tolist(), items[i].tolist(), strict=True)
 
@@ -299,8 +324,8 @@ def search_texts(space: Space, items: list[Item], texts: list[str]) -> list[dict
     for d, place, i in nominate(space, coded):
         item, hit = items[i], found[d]
         if item.item_id not in hit:
-            n, end = len(item.words), place + int(space.scales[i]) * BLOCK
-            if share := space.near_share(i, coded[d][max(0, place - n) : end + n]):
+            side, end = space.margin(i), place + int(space.scales[i]) * BLOCK
+            if share := space.near_share(i, coded[d][max(0, place - side) : end + side]):
                 hit[item.item_id] = share
     return found
 

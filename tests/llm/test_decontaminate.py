@@ -111,7 +111,9 @@ def synonym_tables(seed=3):
         text = [c[j in other] for j, c in enumerate(f)]
         if k % 4 == 3:
             r.shuffle(text)
-        fill = [[r.choice(common) for _ in range(r.randrange(60))] for _ in range(2)]
+        # what stands beside it has words of other items too
+        beside = [w for c in facts[(k + 7) % 30] + facts[(k + 13) % 30] for w in c]
+        fill = [[r.choice(r.choice([common, beside])) for _ in range(r.randrange(60))] for _ in range(2)]
         docs.append((1000 + k, " ".join(fill[0] + text + fill[1])))
         want[1000 + k] = {k % 30} if k % 4 < 3 else set()
     return corpus, docs, items, want
