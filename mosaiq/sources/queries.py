@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.checkpoints import spread
 from mosaiq.registry import Tables, query
 from mosaiq.sources import container
 
 
 def bodies(t: Tables) -> DataFrame:
-    """A body for each customer, one block for each order in order of key; every third one is empty."""
+    """A body for each customer, one block for each order in order of key; every third one is empty.
+
+    A task reads its customers' orders as a sorted stream, so that it holds no more than one body and a batch.
+    """
+    schema = pa.schema([("path", pa.string()), ("external_id", pa.string()), ("body", pa.binary())])
+
+    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        for batch in batches:
+            yield from zip(batch.column("o_custkey").to_pylist(), batch.column("o_orderkey").to_pylist(), strict=True)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
+        for customer, group in groupby(orders(batches), key=itemgetter(0)):
+            name = f"extrnlid{customer}"
+            body = container.build_body(name, [None if k % 3 == 0 else k.to_bytes(8, "big") * 4 for _, k in group])
+            yield ("mem", name, body), len(body)
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("o_orderkey")
-        name = f"extrnlid{group['o_custkey'].iloc[0]}"
-        tiles = [None if k % 3 == 0 else k.to_bytes(8, "big") * 4 for k in group["o_orderkey"].tolist()]
-        return pd.DataFrame({"path": ["mem"], "external_id": [name], "body": [container.build_body(name, tiles)]})
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return container.gathered(made(batches), schema)
 
-    return t["orders"].select("o_custkey", "o_orderkey").groupBy("o_custkey").applyInPandas(build, "path string, external_id string, body binary")
+    keys = spread(t["orders"].select("o_custkey", "o_orderkey"), "o_custkey").sortWithinPartitions("o_custkey", "o_orderkey")
+    return keys.mapInArrow(build, "path string, external_id string, body binary")
 
 
 _B = "WITH b AS (SELECT 'extrnlid' || o_custkey AS external_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS block FROM orders)"

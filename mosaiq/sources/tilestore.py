@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
@@ -32,6 +33,7 @@ from mosaiq.sources.queries import _B, bodies
 
 #: Bytes of a file that a task answers for.
 RANGE_BYTES = 64 << 20
+SCHEMA = pa.schema([("path", pa.string()), ("pos", pa.int64()), ("external_id", pa.string()), ("block", pa.int32()), ("raw_bytes", pa.int64()), ("is_empty", pa.bool_()), ("raw", pa.binary()), ("error", pa.string())])
 SUFFIX, TEMPORARY = ".clip", "_temporary"
 
 
@@ -49,10 +51,14 @@ class Range(InputPartition):
 
 
 class ContainerReader(DataSourceReader):
-    """Tiles, one row each; with the option damaged = fail a fault ends the query, else it is a row with error set."""
+    """Tiles, one row each; with the option damaged = fail a fault ends the query, else it is a row with error set.
+
+    With the option fill = none an empty tile's raw is null, else it is the fill.
+    """
 
     def __init__(self, options: dict[str, str]) -> None:
         self.folder, self.strict = options["path"], options.get("damaged") == "fail"
+        self.filled = options.get("fill") != "none"
         self.step = int(options.get("rangebytes", RANGE_BYTES))
         self.wanted: dict[str, set] = {}
 
@@ -102,8 +108,8 @@ class ContainerReader(DataSourceReader):
             return
         for index, raw_bytes, payload in container.read_blocks(named + f.read(size - len(named))):
             if blocks is None or index in blocks:
-                raw = container.inflate(payload, 255, raw_bytes)
-                yield (path, at, name, index, raw_bytes, payload is None, raw, "DamagedTile" if raw is None else None)
+                raw = container.inflate(payload, 255, raw_bytes) if self.filled or payload is not None else None
+                yield (path, at, name, index, raw_bytes, payload is None, raw, "DamagedTile" if raw is None and payload is not None else None)
             if blocks is not None and index >= max(blocks):
                 return
 
@@ -134,6 +140,13 @@ def headers(f, part: Range) -> Iterator[tuple[int, bytes, int]]:  # noqa: ANN001
         raise fault("MissingDatabase", part.size)
 
 
+class BatchReader(ContainerReader):
+    """The same rows in batches of about container.BATCH_BYTES; Spark would gather them by number, whatever their size."""
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        return container.gathered(((row, 200 + len(row[6] or b"")) for row in super(BatchReader, self).read(part)), SCHEMA)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     path: str | None
@@ -193,8 +206,8 @@ class ContainerSource(DataSource):
     def schema(self) -> str:
         return "path string, pos bigint, external_id string, block int, raw_bytes bigint, is_empty boolean, raw binary, error string"
 
-    def reader(self, schema: StructType) -> ContainerReader:
-        return ContainerReader(self.options)
+    def reader(self, schema: StructType) -> BatchReader:
+        return BatchReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> ContainerWriter:
         if schema.names != ["external_id", "body"]:
@@ -209,7 +222,7 @@ def stored(t: Tables) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     folder = f"{shared_folder(spark)}/containers-{uuid.uuid4().hex}"
     bodies(t).select("external_id", "body").write.format("mosaiq_containers").mode("overwrite").save(folder)
-    return spark.read.format("mosaiq_containers").load(folder)
+    return spark.read.format("mosaiq_containers").option("fill", "none").load(folder)
 
 
 @query("s1_stored_containers", f"{_B} SELECT external_id, count(*) AS blocks, CAST(count(*) FILTER (o_orderkey % 3 = 0) AS BIGINT) AS empty, CAST(min(o_orderkey) AS BIGINT) AS first_key FROM b GROUP BY external_id")

@@ -72,3 +72,19 @@ def test_through_spark(spark, folder, tmp_path):
     assert [x for x in sorted(os.listdir(out)) if x != "_temporary"] == before
     got = spark.read.format("mosaiq_containers").load(out).collect()
     assert sorted((r.external_id, bytes(r.raw)) for r in got) == sorted((f"x{k}", bytes([k]) * 5) for k in range(20))
+
+
+def test_read_batches_are_bounded(tmp_path):
+    """A task's rows leave it in batches of bounded size, however many empty tiles are filled; with fill = none they have no bytes."""
+    folder = tmp_path / "c"
+    folder.mkdir()
+    (folder / "a.clip").write_bytes(container.build_container([container.build_body("x", [None] * 50 + [b"z" * 7])]))
+    for options, largest in (({}, 2 * container.BATCH_BYTES), ({"fill": "none"}, 100_000)):
+        reader = tilestore.BatchReader({"path": str(folder), **options})
+        batches = [b for part in reader.partitions() for b in reader.read(part)]
+        assert sum(b.num_rows for b in batches) == 51
+        assert max(b.nbytes for b in batches) < largest
+        raw = [x for b in batches for x in b.column("raw").to_pylist()]
+        assert raw[50] == b"z" * 7
+        assert raw[0] == (None if options else bytes([255]) * (container.TILE**2 * 5))
+        assert {x for b in batches for x in b.column("error").to_pylist()} == {None}
