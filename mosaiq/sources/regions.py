@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.checkpoints import spread
 from mosaiq.model import RECTS_SQL
 from mosaiq.registry import Tables, query
 from mosaiq.sources import container
@@ -17,38 +18,86 @@ from mosaiq.sources import container
 WIDTH, HEIGHT = 300, 260
 #: A region that crosses the edges of all four tiles.
 REGION = (250, 254, 12, 5)
+#: Pixels, and tiles, that a task gathers before they leave it.
+BATCH_PIXELS, TILES_A_BATCH = 100_000, 16
 PIXEL = "image bigint, x bigint, y bigint, r int, g int, b int, a int"
 
 
+def touched(tiles: DataFrame, size: tuple[int, int], region: tuple[int, int, int, int]) -> DataFrame:
+    """Those of tiles(block) that a region (x, y, w, h) of an image of that size touches."""
+    columns, rows = (-(-n // container.TILE) for n in size)
+    x0, y0, x1, y1 = cut_region(size, region)
+    tx, ty = F.col("block") % columns, F.floor(F.col("block") / columns)
+    return tiles.filter((F.col("block") < columns * rows) & ((tx + 1) * container.TILE > x0) & (tx * container.TILE < x1) & ((ty + 1) * container.TILE > y0) & (ty * container.TILE < y1))
+
+
+def cut_region(size: tuple[int, int], region: tuple[int, int, int, int]) -> tuple[int, int, int, int]:
+    """The bounds (x0, y0, x1, y1) of a region (x, y, w, h), cut to the image."""
+    x, y, w, h = region
+    return max(x, 0), max(y, 0), min(x + w, size[0]), min(y + h, size[1])
+
+
+def decoded(batch: pa.RecordBatch, layout: str, size: tuple[int, int], region: tuple[int, int, int, int]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(image, x, y, pixels) of what each tile of a batch(image, block, raw) has of a region; x and y are of the first pixel."""
+    columns = -(-size[0] // container.TILE)
+    x0, y0, x1, y1 = cut_region(size, region)
+    for image, block, raw in zip(batch.column("image").to_pylist(), batch.column("block").to_pylist(), batch.column("raw"), strict=True):
+        left, top = block % columns * container.TILE, block // columns * container.TILE
+        a, b, c, d = max(x0 - left, 0), min(x1 - left, container.TILE), max(y0 - top, 0), min(y1 - top, container.TILE)
+        if raw.is_valid:
+            px = container.decode_tile(raw.as_buffer(), layout)[c:d, a:b]
+            px = np.repeat(px[..., None], 4, -1) if px.ndim == 2 else px
+        else:
+            px = np.zeros((d - c, b - a, 4), np.uint8)
+        yield image, left + a, top + c, px
+
+
 def read_region(tiles: DataFrame, layout: str, size: tuple[int, int], region: tuple[int, int, int, int]) -> DataFrame:
     """Pixels (image, x, y, r, g, b, a) of a region (x, y, w, h) from tiles(image, block, raw); null raw is transparent.
 
     Tiles outside the region go before any is decoded, and what a tile has
     outside of it doesn't leave the task. A region is cut to the image.
     """
-    columns, rows = (-(-n // container.TILE) for n in size)
-    x0, y0 = max(region[0], 0), max(region[1], 0)
-    x1, y1 = min(region[0] + region[2], size[0]), min(region[1] + region[3], size[1])
-    tx, ty = F.col("block") % columns, F.floor(F.col("block") / columns)
-    inside = tiles.filter((F.col("block") < columns * rows) & ((tx + 1) * container.TILE > x0) & (tx * container.TILE < x1) & ((ty + 1) * container.TILE > y0) & (ty * container.TILE < y1))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch_of(parts: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        sizes = [px.shape[0] * px.shape[1] for *_, px in parts]
+        x = np.concatenate([np.tile(np.arange(left, left + px.shape[1]), px.shape[0]) for _, left, _, px in parts])
+        y = np.concatenate([np.repeat(np.arange(top, top + px.shape[0]), px.shape[1]) for _, _, top, px in parts])
+        rgba = np.concatenate([px.reshape(-1, 4) for *_, px in parts]).astype(np.int32)
+        image = np.repeat(np.array([i for i, *_ in parts], np.int64), sizes)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (image, x, y, *(np.ascontiguousarray(rgba[:, k]) for k in range(4)))], ["image", "x", "y", *"rgba"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for part in decoded(batch, layout, size, region):
+                held.append((*part[:3], part[3].copy()))
+                n += part[3].shape[0] * part[3].shape[1]
+                if n >= BATCH_PIXELS:
+                    yield batch_of(held)
+                    held, n = [], 0
+        if held:
+            yield batch_of(held)
+
+    return touched(tiles, size, region).select("image", "block", "raw").mapInArrow(run, PIXEL)
+
+
+def sum_region(tiles: DataFrame, layout: str, size: tuple[int, int], region: tuple[int, int, int, int]) -> DataFrame:
+    """(image, pixels, r, g, b, a) of a region: how many pixels, and the sums of their channels; each tile is added up where it is decoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples():
-                left, top = row.block % columns * container.TILE, row.block // columns * container.TILE
-                a, b, c, d = max(x0 - left, 0), min(x1 - left, container.TILE), max(y0 - top, 0), min(y1 - top, container.TILE)
-                px = np.zeros((container.TILE, container.TILE, 4), np.uint8) if row.raw is None else container.decode_tile(row.raw, layout)
-                px = np.repeat(px[..., None], 4, -1) if px.ndim == 2 else px
-                y, x = np.mgrid[c:d, a:b]
-                part = px[c:d, a:b].reshape(-1, 4).astype(np.int32)
-                yield pd.DataFrame({"image": row.image, "x": left + x.ravel(), "y": top + y.ravel(), **{k: part[:, n] for n, k in enumerate("rgba")}})
+            rows = [(image, px.shape[0] * px.shape[1], *px.sum(axis=(0, 1), dtype=np.int64).tolist()) for image, _, _, px in decoded(batch, layout, size, region)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["image", "pixels", *"rgba"])  # noqa: B905
 
-    return inside.select("image", "block", "raw").mapInPandas(run, PIXEL)
+    parts = touched(tiles, size, region).select("image", "block", "raw").mapInArrow(run, "image bigint, pixels bigint, r bigint, g bigint, b bigint, a bigint")
+    return parts.groupBy("image").agg(*(F.sum(c).alias(c) for c in ("pixels", *"rgba")))
 
 
 def encode_tile(r: np.ndarray, g: np.ndarray, b: np.ndarray, a: np.ndarray, layout: str) -> bytes:
-    """A tile's bytes from its channels: planes as decode_tile reads them."""
-    byte = lambda v: (v % 256).astype(np.uint8)
+    """A tile's bytes from its channels, modulo 256: planes as decode_tile reads them."""
+    byte = lambda v: v.astype(np.uint8)
     if layout == "rgba":
         return byte(a).tobytes() + np.stack([byte(b), byte(g), byte(r), byte(a) * 0], -1).tobytes()
     if layout == "gray":
@@ -58,21 +107,31 @@ def encode_tile(r: np.ndarray, g: np.ndarray, b: np.ndarray, a: np.ndarray, layo
     return byte(a).tobytes()
 
 
-def made_tiles(t: Tables, layout: str) -> DataFrame:
-    """Four tiles for each supplier, by the formulas of the SQL below; of every third supplier the last one isn't stored."""
+def made_tiles(t: Tables, layout: str, region: tuple[int, int, int, int]) -> DataFrame:
+    """The tiles that a region touches, of four for each supplier, by the formulas of the SQL below; of every third supplier the last one isn't stored.
+
+    Images and numbers of tiles are rows that are dealt out before any tile is made.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, x = np.mgrid[: container.TILE, : container.TILE]
+        # what doesn't depend on the image, modulo 256 like all that follows
+        planes = [[v.astype(np.uint8) for v in (px, px * 3 + py, py, px + py * 7)] for px, py in ((x + block % 2 * container.TILE, y + block // 2 * container.TILE) for block in range(4))]
         for batch in batches:
-            for key in batch["s_suppkey"].tolist():
-                out = []
-                for block in range(4):
-                    y, x = np.mgrid[: container.TILE, : container.TILE]
-                    x, y = x + block % 2 * container.TILE, y + block // 2 * container.TILE
-                    raw = None if key % 3 == 0 and block == 3 else encode_tile(key * 5 + x, x * 3 + y, y + key, x + y * 7 + key, layout)
-                    out.append((key, block, raw))
-                yield pd.DataFrame(out, columns=["image", "block", "raw"])
+            for at in range(0, batch.num_rows, TILES_A_BATCH):
+                part = batch.slice(at, TILES_A_BATCH)
+                raws = []
+                for key, block in zip(part.column("image").to_pylist(), part.column("block").to_pylist(), strict=True):
+                    r, g, b, a = planes[block]
+                    raws.append(None if key % 3 == 0 and block == 3 else encode_tile(r + np.uint8(key * 5 % 256), g, b + np.uint8(key % 256), a + np.uint8(key % 256), layout))
+                yield pa.RecordBatch.from_arrays([part.column("image"), part.column("block"), pa.array(raws, pa.binary())], ["image", "block", "raw"])
+
+    every = t["supplier"].select(F.col("s_suppkey").alias("image"), F.explode(F.expr("sequence(0, 3)")).alias("block"))
+    return spread(touched(every, (WIDTH, HEIGHT), region), "image", "block").mapInArrow(run, "image bigint, block int, raw binary")
+
 
-    return t["supplier"].select("s_suppkey").mapInPandas(run, "image bigint, block int, raw binary")
+def made_region(t: Tables, layout: str, region: tuple[int, int, int, int]) -> DataFrame:
+    return read_region(made_tiles(t, layout, region), layout, (WIDTH, HEIGHT), region)
 
 
 def _region_sql(region: tuple[int, int, int, int], r: str, g: str, b: str, a: str) -> str:
@@ -87,31 +146,32 @@ _R, _G, _B, _A = "(s_suppkey * 5 + x) % 256", "(x * 3 + y) % 256", "(y + s_suppk
 _ON = lambda v: f"CASE WHEN {v} > 127 THEN 255 ELSE 0 END"
 LAYOUTS = {"rgba": (_R, _G, _B, _A), "gray": (_R, _R, _R, _A), "mono": (_ON(_R), _ON(_R), _ON(_R), _ON(_A)), "mask": (_A, _A, _A, _A)}
 for _layout, _parts in LAYOUTS.items():
-    query(f"t1_tiles_{_layout}", _region_sql(REGION, *_parts))(lambda t, k=_layout: read_region(made_tiles(t, k), k, (WIDTH, HEIGHT), REGION))
+    query(f"t1_tiles_{_layout}", _region_sql(REGION, *_parts))(lambda t, k=_layout: made_region(t, k, REGION))
 
 
 @query("s15_image_region", _region_sql((-5, 250, 12, 30), *LAYOUTS["rgba"]))
 def s15(t: Tables) -> DataFrame:
     """A region that lies partly outside of the image."""
-    return read_region(made_tiles(t, "rgba"), "rgba", (WIDTH, HEIGHT), (-5, 250, 12, 30))
+    return made_region(t, "rgba", (-5, 250, 12, 30))
 
 
 @query("c9_image_summary", f"SELECT image, count(*) AS pixels, CAST(sum(r) AS BIGINT) AS r, CAST(sum(a) AS BIGINT) AS a FROM ({_region_sql((0, 0, WIDTH, HEIGHT), *LAYOUTS['rgba'])}) GROUP BY image")
 def c9(t: Tables) -> DataFrame:
-    """Whole images, added up by a partial aggregate where their tiles are decoded."""
-    return read_region(made_tiles(t, "rgba"), "rgba", (WIDTH, HEIGHT), (0, 0, WIDTH, HEIGHT)).groupBy("image").agg(F.count(F.lit(1)).alias("pixels"), F.sum("r").alias("r"), F.sum("a").alias("a"))
+    """Whole images, added up where their tiles are decoded."""
+    whole = (0, 0, WIDTH, HEIGHT)
+    return sum_region(made_tiles(t, "rgba", whole), "rgba", (WIDTH, HEIGHT), whole).select("image", "pixels", "r", "a")
 
 
 @query("e31_pixel_sample", _region_sql((257, 3, 1, 1), *LAYOUTS["rgba"]))
 def e31(t: Tables) -> DataFrame:
     """The sources' pixel at one place, from one tile each."""
-    return read_region(made_tiles(t, "rgba"), "rgba", (WIDTH, HEIGHT), (257, 3, 1, 1))
+    return made_region(t, "rgba", (257, 3, 1, 1))
 
 
 @query("e33_decode_counters", f"SELECT image, count(DISTINCT (x // 256, y // 256)) AS tiles, count(*) AS pixels FROM ({_region_sql(REGION, *LAYOUTS['mask'])}) GROUP BY image")
 def e33(t: Tables) -> DataFrame:
     """How many tiles and pixels a region took."""
-    px = read_region(made_tiles(t, "mask"), "mask", (WIDTH, HEIGHT), REGION)
+    px = made_region(t, "mask", REGION)
     return px.groupBy("image").agg(F.count_distinct(F.floor(F.col("x") / 256), F.floor(F.col("y") / 256)).alias("tiles"), F.count(F.lit(1)).alias("pixels"))
 
 
