@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.checkpoints import spread
 from mosaiq.model import LAYERS_SQL, RECTS_SQL
 from mosaiq.registry import Tables, query
 from mosaiq.sources import container
@@ -182,7 +183,7 @@ def o8(t: Tables) -> DataFrame:
     """Blocks inflated in any order come back in that of their numbers."""
     raw = container.scan_blocks(bodies(t)).select("external_id", "block", container.inflate_tile(F.col("payload"), F.lit(0), F.lit(32)).alias("raw"), "is_empty")
     key = F.when(F.col("is_empty"), "-").otherwise(unsigned(F.col("raw"), 0, 8).cast("string"))
-    rows = raw.repartition("block").groupBy("external_id").agg(F.array_sort(F.collect_list(F.struct("block", key.alias("k")))).alias("all"))
+    rows = raw.repartition("external_id", "block").groupBy("external_id").agg(F.array_sort(F.collect_list(F.struct("block", key.alias("k")))).alias("all"))
     return rows.select("external_id", F.array_join(F.transform("all", lambda x: x["k"]), ",").alias("keys"))
 
 
@@ -245,12 +246,14 @@ def s17(t: Tables) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         y, x = np.mgrid[:3, :4]
         for batch in batches:
+            out = []
             for key in batch["c_custkey"].tolist():
                 made = np.stack([(key + 7 * x + 31 * y) % 256, (key * 3 + x) % 256, x * y % 256, 255 - x], -1)
-                px = read_png(write_png(made, [key % 3, 1, 2])).reshape(-1, 4).astype(np.int64)
-                yield pd.DataFrame({"c_custkey": key, "x": x.ravel(), "y": y.ravel(), **{c: px[:, k] for k, c in enumerate("rgba")}})
+                out.append(read_png(write_png(made, [key % 3, 1, 2])).reshape(-1, 4))
+            px, n = np.concatenate([np.zeros((0, 4), np.uint8), *out]).astype(np.int64), len(out)
+            yield pd.DataFrame({"c_custkey": np.repeat(batch["c_custkey"].to_numpy(), x.size), "x": np.tile(x.ravel(), n), "y": np.tile(y.ravel(), n), **{c: px[:, k] for k, c in enumerate("rgba")}})
 
-    return t["customer"].select("c_custkey").mapInPandas(run, "c_custkey bigint, x bigint, y bigint, r bigint, g bigint, b bigint, a bigint")
+    return spread(t["customer"].select("c_custkey"), "c_custkey").mapInPandas(run, "c_custkey bigint, x bigint, y bigint, r bigint, g bigint, b bigint, a bigint")
 
 
 @query("s19_layer_dump", f"WITH {LAYERS_SQL} SELECT layer_id, type_code, visibility, opacity, composite, next_id, first_child FROM layers ORDER BY layer_id")
