@@ -64,18 +64,19 @@ def w6(t: Tables) -> DataFrame:
 
 
 def coalesce_intervals(rows: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """Intervals of a group that overlap or touch, as one each."""
-    order = Window.partitionBy(group).orderBy(start, end)
-    reach = rows.withColumn("reach", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    """Intervals of a group that overlap or touch, as one each; those of one start are one before, so that no order is left open."""
+    one = rows.groupBy(group, start).agg(F.max(end).alias(end), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(group).orderBy(start)
+    reach = one.withColumn("reach", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     islands = reach.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col(start) > F.col("reach")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(group, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("merged")).drop("island")
+    return islands.groupBy(group, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("n").alias("merged")).drop("island")
 
 
 @query(
     "w7_interval_islands",
-    f"""WITH {RECTS_SQL}, r AS (SELECT fill, x AS a, x + w % 9 AS b FROM rects), m AS (SELECT *, max(b) OVER (PARTITION BY fill ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
-i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY fill ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)
-SELECT fill, min(a) AS a, max(b) AS b, count(*) AS merged FROM i GROUP BY fill, island""",
+    f"""WITH {RECTS_SQL}, r AS (SELECT fill, x AS a, max(x + w % 9) AS b, count(*) AS n FROM rects GROUP BY fill, x), m AS (SELECT *, max(b) OVER (PARTITION BY fill ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY fill ORDER BY a ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT fill, min(a) AS a, max(b) AS b, CAST(sum(n) AS BIGINT) AS merged FROM i GROUP BY fill, island""",
 )
 def w7(t: Tables) -> DataFrame:
     return coalesce_intervals(t.model.rects.select("fill", F.col("x").alias("a"), F.expr("x + w % 9").alias("b")), "fill", "a", "b")
