@@ -177,11 +177,30 @@ def e36(t: Tables) -> DataFrame:
     return explode_tiles(t.model.rects).groupBy((F.col("rect_id") % 10).alias("frame")).agg(F.count_distinct("tile_x", "tile_y").alias("tiles"))
 
 
+def sums_in_rects(points: DataFrame, rects: DataFrame, side: int) -> DataFrame:
+    """(rect_id, pixels, ids) of rects(rect_id, x, y, w, h): how many of points(px, py, id) on a canvas of that side lie within, and the sum of their ids; rectangles without any are left out.
+
+    A summed-area table of the canvas, one row for each place, gives both at
+    the four corners of a rectangle, so work grows with points and rectangles
+    and not with their pairs.
+    """
+    canvas = points.sparkSession.range(side * side).select((F.col("id") % side).alias("px"), F.expr(f"id div {side}").alias("py"))
+    here = points.groupBy("px", "py").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    rows = lambda part, order: Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    table = canvas.join(here, ["px", "py"], "left")
+    for window in (rows("py", "px"), rows("px", "py")):
+        table = table.withColumns({c: F.sum(F.coalesce(c, F.lit(0))).over(window) for c in ("n", "ids")})
+    # a rectangle's last column and row on the canvas, and those before its first; what lies before the canvas adds nothing
+    ends = {"x": [f"least(x + w, {side}) - 1", f"least(x, {side}) - 1"], "y": [f"least(y + h, {side}) - 1", f"least(y, {side}) - 1"]}
+    corners = F.explode(F.array(*(F.struct(F.expr(p).alias("px"), F.expr(q).alias("py"), F.lit(1 if i == j else -1).alias("sign")) for i, p in enumerate(ends["x"]) for j, q in enumerate(ends["y"]))))
+    looked = rects.filter("w > 0 AND h > 0").select("rect_id", corners.alias("c")).select("rect_id", "c.*").filter("px >= 0 AND py >= 0")
+    sums = looked.join(table, ["px", "py"]).groupBy("rect_id").agg(F.sum(F.col("sign") * F.col("n")).alias("pixels"), F.sum(F.col("sign") * F.col("ids")).alias("ids"))
+    return sums.filter("pixels > 0")
+
+
 @query("e37_patch_extraction", f"WITH {RECTS_SQL} SELECT rect_id, count(*) AS pixels, CAST(sum(o_orderkey) AS BIGINT) AS ids FROM rects JOIN orders ON o_orderkey % 2048 >= x AND o_orderkey % 2048 < x + w AND o_custkey % 2048 >= y AND o_custkey % 2048 < y + h GROUP BY rect_id")
 def e37(t: Tables) -> DataFrame:
-    """Pixels inside rectangles. Both go to tiles, so the join is by equality."""
-    pixels = t["orders"].selectExpr("o_orderkey", "o_orderkey % 2048 AS px", "o_custkey % 2048 AS py").selectExpr("*", "px div 256 AS tile_x", "py div 256 AS tile_y")
-    inside = explode_tiles(t.model.rects).join(pixels, ["tile_x", "tile_y"]).filter("px >= x AND px < x + w AND py >= y AND py < y + h")
-    return inside.groupBy("rect_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum("o_orderkey").alias("ids"))
+    """Pixels inside rectangles."""
+    return sums_in_rects(t["orders"].selectExpr("o_orderkey AS id", "o_orderkey % 2048 AS px", "o_custkey % 2048 AS py"), t.model.rects, 2048)
 
 
