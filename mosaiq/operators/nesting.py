@@ -6,17 +6,20 @@ one of them a begin at the scope's place and an end at its subtree's end, so
 nesting of any depth comes from the tree. A begin pushes an accumulator: an
 empty one for a container or a clipping run, a copy of the one below for a
 group that is drawn through. An end pops it and lays it over the one below.
+The pixels of a batch are folded side by side, an event of each at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.model import PIXELS
-from mosaiq.operators.compositing import event_alpha, idiv, normal_over, start, through
+from mosaiq.operators.compositing import WHITE, event_alpha
 from mosaiq.operators.hierarchy import SCOPE, WALK_SQL, along_ancestors, preorder
 from mosaiq.registry import Tables, query
 
@@ -24,7 +27,7 @@ from mosaiq.registry import Tables, query
 END, BEGIN, DRAW = 0, 1, 2
 #: Kinds of scopes: drawn apart, drawn through, and a base with the siblings that are clipped to it.
 CONTAINER, THROUGH, CLIP_RUN = 0, 1, 2
-ACC = "struct<r:bigint,g:bigint,b:bigint,a:bigint>"
+START = np.array([[WHITE[c]] for c in "rgba"], float)
 
 
 def scopes_of(plan: DataFrame, layers: DataFrame) -> DataFrame:
@@ -62,45 +65,114 @@ def scope_paths(plan: DataFrame, layers: DataFrame) -> DataFrame:
 
 
 def pixel_events(draws: DataFrame, paths: DataFrame) -> DataFrame:
-    """(px, events) of draws(px, layer_id, ord, sr, sg, sb, alpha): a pixel's draws and the begins and ends around them, in order."""
+    """(px, events) of draws(px, layer_id, ord, sr, sg, sb, alpha): a pixel's draws and the begins and ends around them, in order.
+
+    Draws are dealt out by pixel once, each with the scopes around it; begins
+    and ends are made where a pixel's draws have met.
+    """
     drawn = draws.join(paths, "layer_id")
-    at = lambda place, what, tie: F.struct(F.col(place).alias("place"), F.lit(what).alias("what"), tie.cast("bigint").alias("tie"))
     zero = F.lit(0).cast("bigint")
-    fields = lambda **v: [v.get(k, zero).cast("bigint").alias(k) for k in ("sr", "sg", "sb", "alpha", "kind", "strength", "clipped")]
-    draw = drawn.select("px", at("node_id", DRAW, F.col("ord")).alias("at"), *fields(sr=F.col("sr"), sg=F.col("sg"), sb=F.col("sb"), alpha=F.col("alpha"), clipped=F.col("clip")))
-    around = drawn.select("px", F.explode("scopes").alias("s")).distinct().select("px", "s.*")
-    begin = around.select("px", at("place", BEGIN, F.col("level")).alias("at"), *fields(kind=F.col("kind")))
-    end = around.select("px", at("until", END, -(F.col("place") * 100_000 + F.col("level"))).alias("at"), *fields(kind=F.col("kind"), strength=F.col("strength"), clipped=F.col("clipped")))
-    events = draw.union(begin).union(end)
-    return events.groupBy("px").agg(F.array_sort(F.collect_list(F.struct(*events.columns[1:]))).alias("events"))
+
+    def event(place: Column, what: int, tie: Column, **v: Column) -> Column:
+        at = F.struct(place.alias("place"), F.lit(what).alias("what"), tie.cast("bigint").alias("tie"))
+        return F.struct(at.alias("at"), *(v.get(k, zero).cast("bigint").alias(k) for k in ("sr", "sg", "sb", "alpha", "kind", "strength", "clipped")))
+
+    draw = event(F.col("node_id"), DRAW, F.col("ord"), sr=F.col("sr"), sg=F.col("sg"), sb=F.col("sb"), alpha=F.col("alpha"), clipped=F.col("clip"))
+    # dealt out before they are gathered: few draws of a pixel stand in one task by then
+    stacks = drawn.select("px", draw.alias("draw"), "scopes").repartition("px").groupBy("px").agg(F.collect_list("draw").alias("draws"), F.sort_array(F.flatten(F.collect_list("scopes"))).alias("around"))
+    once = stacks.select("px", "draws", F.filter("around", lambda s, k: (k == 0) | (s != F.get("around", k - 1))).alias("around"))
+    begin = F.transform("around", lambda s: event(s["place"], BEGIN, s["level"], kind=s["kind"]))
+    end = F.transform("around", lambda s: event(s["until"], END, -(s["place"] * 100_000 + s["level"]), kind=s["kind"], strength=s["strength"], clipped=s["clipped"]))
+    return once.select("px", F.sort_array(F.concat("draws", begin, end)).alias("events"))
+
+
+def floored(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    return np.floor(a / b)
 
 
-def clipped_over(acc: Column, x: Column, alpha: Column) -> Column:
+def clipped_over(acc: np.ndarray, x: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     """A sibling clipped to acc: normal by alpha, while acc's own alpha stays."""
-    return F.struct(*(idiv(acc[c] * (255 - alpha) + x[f"s{c}"] * alpha + 127, 255).cast("bigint").alias(c) for c in "rgb"), acc["a"].alias("a"))
+    return np.vstack([floored(acc[:3] * (255 - alpha) + x * alpha + 127, 255), acc[3:]])
 
 
-def lay(acc: Column, x: Column, alpha: Column, clipped: Column) -> Column:
-    return F.when(clipped == 1, clipped_over(acc, x, alpha)).otherwise(normal_over(acc, x, alpha)).cast(ACC)
+def normal_over(acc: np.ndarray, x: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """B0, as in compositing."""
+    carry = floored(acc[3] * (255 - alpha), 255)
+    oa = np.fmin(carry + alpha, 255)
+    over = floored(x * alpha + acc[:3] * carry + np.fmax(floored(oa - 1, 2), 0), np.fmax(oa, 1))
+    return np.where(alpha == 0, acc, np.vstack([np.fmin(over, 255), oa]))
 
 
-def stack_step(stack: Column, x: Column) -> Column:
-    """The stack of accumulators after an event; the first of it is on top."""
-    top, below = F.get(stack, F.lit(0)), F.get(stack, F.lit(1))
-    rest, deeper = F.slice(stack, 2, F.greatest(F.size(stack), F.lit(1))), F.slice(stack, 3, F.greatest(F.size(stack), F.lit(1)))
-    empty = start().cast(ACC)
-    source = F.struct(*(top[c].alias(f"s{c}") for c in "rgba"))
-    closed = F.when(x["kind"] == THROUGH, through(below, top, x["strength"] / 256.0).cast(ACC)).otherwise(lay(below, source, idiv(top["a"] * x["strength"], 256), x["clipped"]))
-    begun = F.concat(F.array(F.when(x["kind"] == THROUGH, top).otherwise(empty)), stack)
-    what = x["at"]["what"]
-    return F.when(what == BEGIN, begun).when(what == END, F.concat(F.array(closed), deeper)).otherwise(F.concat(F.array(lay(top, x, x["alpha"], x["clipped"])), rest))
+def lay(acc: np.ndarray, x: np.ndarray, alpha: np.ndarray, clipped: np.ndarray) -> np.ndarray:
+    return np.where(clipped == 1, clipped_over(acc, x, alpha), normal_over(acc, x, alpha))
 
 
-def nested(draws: DataFrame, layers: DataFrame, root: int = 1, step: Callable[[Column, Column], Column] = stack_step) -> DataFrame:
+def through(before: np.ndarray, after: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """C6, as in compositing: what was there before a group and after it, mixed premultiplied."""
+    mix = lambda v, w: v * (1.0 - strength) + w * strength
+    alpha = mix(before[3] / 255.0, after[3] / 255.0)
+    rounded = lambda v: np.floor(np.fmin(np.fmax(v, 0.0), 1.0) * 255.0 + 0.5)
+    mixed = mix(before[:3] / 255.0 * (before[3] / 255.0), after[:3] / 255.0 * (after[3] / 255.0))
+    return np.vstack([np.where(alpha > 0, rounded(mixed / np.where(alpha > 0, alpha, 1.0)), 255.0), rounded(alpha)])
+
+
+#: Accumulators that are held for the pixels of a batch at a time, about.
+HELD = 1 << 20
+VALUES = ("sr", "sg", "sb", "alpha", "kind", "strength", "clipped")
+
+
+def fold_stacks(counts: np.ndarray, what: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The last accumulator (r, g, b, a by pixel) of pixels with so many events each, all pixels' first events together, then all second ones and so on.
+
+    Numbers are doubles, exact up to 2 ** 52, and nulls are not-a-numbers,
+    which fmin and fmax pass over as least and greatest do.
+    """
+    starts = np.cumsum(counts) - counts
+    nest = np.cumsum((what == BEGIN).astype(np.int64) - (what == END))
+    depth = int(nest.max(initial=0)) + 1
+    done = np.empty((4, len(counts)))
+    for part in np.array_split(np.argsort(-counts, kind="stable"), len(counts) * depth // HELD + 1):
+        stack, level, first, n = np.empty((depth, 4, len(part))), np.zeros(len(part), np.int64), starts[part], counts[part]
+        stack[0] = START
+        for k in range(int(n.max(initial=0))):
+            at = first[: np.searchsorted(-n, -k)] + k
+            does = what[at]
+            for step in (BEGIN, END, DRAW):
+                p = np.flatnonzero(does == step)
+                if not len(p):
+                    continue
+                v, top = dict(zip(VALUES, values[:, at[p]])), stack[level[p], :, p].T  # noqa: B905
+                if step == BEGIN:
+                    level[p] += 1
+                    stack[level[p], :, p] = np.where(v["kind"] == THROUGH, top, START).T
+                elif step == END:
+                    level[p] -= 1
+                    below = stack[level[p], :, p].T
+                    laid = lay(below, top[:3], floored(top[3] * v["strength"], 256), v["clipped"])
+                    stack[level[p], :, p] = np.where(v["kind"] == THROUGH, through(below, top, v["strength"] / 256.0), laid).T
+                else:
+                    stack[level[p], :, p] = lay(top, np.stack([v[c] for c in VALUES[:3]]), v["alpha"], v["clipped"]).T
+        done[:, part] = stack[0]
+    return done
+
+
+def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(px, r, g, b, a) of batches (px, events)."""
+    for batch in batches:
+        events = batch.column("events")
+        fields = events.flatten()
+        values = np.stack([fields.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in VALUES])
+        what = fields.field("at").field("what").to_numpy(zero_copy_only=False)
+        counts = events.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        out = fold_stacks(counts, what, values)
+        yield pa.RecordBatch.from_arrays([batch.column("px"), *(pa.array(v, from_pandas=True).cast(pa.int64()) for v in out)], ["px", "r", "g", "b", "a"])
+
+
+def nested(draws: DataFrame, layers: DataFrame, root: int = 1) -> DataFrame:
     """(px, r, g, b, a) of draws(px, layer_id, ord, sr, sg, sb, alpha) on the visible leaves of a tree of any depth."""
     events = pixel_events(draws, scope_paths(preorder(layers, root), layers))
-    done = events.select("px", F.aggregate("events", F.array(start().cast(ACC)), step).alias("stack"))
-    return done.select("px", F.get("stack", F.lit(0)).alias("o")).select("px", "o.*")
+    kind = events.schema["px"].dataType.simpleString()
+    return events.mapInArrow(folded, f"px {kind}, r bigint, g bigint, b bigint, a bigint")
 
 
 _INIT = "{'r': 255::BIGINT, 'g': 255::BIGINT, 'b': 255::BIGINT, 'a': 0::BIGINT}"
