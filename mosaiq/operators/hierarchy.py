@@ -28,15 +28,19 @@ def linked(layers: DataFrame) -> DataFrame:
     """
     before = layers.filter("next_id <> 0").select(F.col("next_id").alias("of"), F.col("layer_id").alias("prev"))
     up = layers.filter("first_child <> 0").select(F.col("first_child").alias("child"), F.col("layer_id").alias("parent"))
-    back = layers.select("layer_id").join(before, F.col("layer_id") == F.col("of"), "left").select("layer_id", F.coalesce("prev", "layer_id").alias("head"), F.col("prev").isNotNull().cast("bigint").alias("rank"))
+    first = layers.select("layer_id").join(before, F.col("layer_id") == F.col("of"), "left")
+    back = cut(first.select("layer_id", F.coalesce("prev", "layer_id").alias("head"), F.col("prev").isNotNull().cast("bigint").alias("rank"), F.col("prev").isNotNull().alias("open")))
+    parts = back.rdd.getNumPartitions()
     for _ in range(MOST_DOUBLINGS):
-        back = cut(back)
-        far = back.select(F.col("layer_id").alias("at"), F.col("head").alias("further"), F.col("rank").alias("more"))
-        if back.join(far, F.col("head") == F.col("at")).filter("more > 0").isEmpty():
+        if back.filter("open").isEmpty():
             break
-        back = back.join(far, F.col("head") == F.col("at")).select("layer_id", F.col("further").alias("head"), (F.col("rank") + F.col("more")).alias("rank"))
+        # those that have met the first one wait, so no key is that of many rows
+        far = back.select(F.col("layer_id").alias("at"), F.col("head").alias("further"), F.col("rank").alias("more"), F.col("open").alias("on"))
+        ahead = back.filter("open").join(far, F.col("head") == F.col("at")).select("layer_id", F.col("further").alias("head"), (F.col("rank") + F.col("more")).alias("rank"), F.col("on").alias("open"))
+        back = cut(back.filter("not open").union(ahead).coalesce(parts))
     else:
         raise ValueError("links between siblings go in circles")
+    back = back.drop("open")
     heads = back.join(up, F.col("head") == F.col("child"), "left").select(F.col("layer_id").alias("id"), "parent", "rank")
     return layers.drop("parent", "rank").join(heads, F.col("layer_id") == F.col("id")).drop("id")
 

@@ -55,3 +55,15 @@ def test_circles(spark):
     df = spark.createDataFrame([(1, None, 1), (2, 3, 1), (3, 2, 1)], "layer_id long, parent long, visibility long")
     with pytest.raises(ValueError, match="circles"):
         hierarchy.preorder(df)
+
+
+def test_siblings_look_ahead_from_one_row_each(spark, monkeypatch):
+    """Ranks from stored links; in no round do many rows look for the same one."""
+    n, rounds, plain_cut = 40, [], hierarchy.cut
+    monkeypatch.setattr(hierarchy, "cut", lambda df: rounds.append(plain_cut(df)) or rounds[-1])
+    df = spark.createDataFrame([(1, 0, 2)] + [(i, i + 1 if i < n else 0, 0) for i in range(2, n + 1)], "layer_id long, next_id long, first_child long")
+    got = {r.layer_id: (r.parent, r.rank) for r in hierarchy.linked(df).collect()}
+    assert got == {1: (None, 0)} | {i: (1, i - 2) for i in range(2, n + 1)}
+    assert 1 < len(rounds) <= 8
+    for now in rounds:
+        assert now.filter("open").groupBy("head").count().filter("count > 1").isEmpty()
