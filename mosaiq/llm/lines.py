@@ -411,8 +411,8 @@ def frequent_words(docs: DataFrame) -> tuple[np.ndarray, int]:
     return words, totals.get(1, 0)
 
 
-def fuzzy_duplicates(blocks: DataFrame, total: int, frequent: np.ndarray, percent: int = 80) -> DataFrame:
-    """(block, place, line) of the lines that aren't the first of their connected group; total is the bytes of text.
+def fuzzy_duplicates(docs: DataFrame, total: int, frequent: np.ndarray, percent: int = 80) -> DataFrame:
+    """(block, place, line) of the lines that aren't the first of their connected group, blocks being those that carry; total is the bytes of text.
 
     Lines are linked if they are equal when normalised, or if they share a
     SimHash block and their edit similarity is percent or more. The first is that of the smallest doc_id (nulls last),
@@ -420,13 +420,13 @@ def fuzzy_duplicates(blocks: DataFrame, total: int, frequent: np.ndarray, percen
     group.
     """
     buckets = packed.bucket_count(total / BYTES_A_KEY)
+    blocks = packed.pack_blocks(docs, carry=True).drop("rest")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workers.enter("blocks")
         for batch in batches:
             for row in batch.to_pylist():
-                sent = Lines(row).send(buckets, frequent)
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sent], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["round", "bucket", "block", "data"])
+                yield packed.sent_batch(Lines(row).send(buckets, frequent))
 
     def wanted(left: pa.Table, flags: pa.Table) -> pa.Table:
         workers.enter("blocks")
@@ -443,7 +443,7 @@ def fuzzy_duplicates(blocks: DataFrame, total: int, frequent: np.ndarray, percen
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         return packed.shared(rows) if rows["round"].iloc[0] else packed.judged(rows, 8, packed.repeated_or_first)
 
-    ranks = blocks.mapInArrow(scan, packed.SENT).groupBy("round", "bucket").applyInPandas(answer, packed.FLAGS)
+    ranks = packed.pack_blocks(docs, carry=True, run=scan, kind=packed.SENT).groupBy("round", "bucket").applyInPandas(answer, packed.FLAGS)
     listed = cut(blocks.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(wanted, "node bigint, key binary, doc_id bigint, block bigint, place int, line int, sims array<bigint>, hubs array<bigint>, text binary"))
     # half a key is enough for a node, a hub is none: what either merges by chance is told apart below
     near = components(listed.filter("hubs is not null").select(F.col("node").alias("a"), F.explode("hubs").alias("b")))
@@ -491,7 +491,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs = docs.drop("n_lines", "removed")
     blocks = packed.pack_blocks(docs, carry=True)
     frequent, total = frequent_words(docs)
-    gone = fuzzy_duplicates(blocks.drop("rest"), total, frequent, percent)
+    gone = fuzzy_duplicates(docs, total, frequent, percent)
 
     def strip(left: pa.Table, right: pa.Table) -> pa.Table:
         workers.enter("blocks")

@@ -36,7 +36,7 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def pack_blocks(docs: DataFrame, carry: bool = False) -> DataFrame:
+def pack_blocks(docs: DataFrame, carry: bool = False, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, kind: str = "") -> DataFrame:
     """Blocks of docs(doc_id, text): block, ids and known (packed, see ids_of), lens, data; null texts count as empty ones.
 
     doc_id is read as a whole number; what isn't one counts as null. With
@@ -44,6 +44,10 @@ def pack_blocks(docs: DataFrame, carry: bool = False) -> DataFrame:
     place (c0, c1 and so on, of their own types), and of whether text is null
     (none). A block's number is its task and its place there. A task that
     runs again must read the same rows in the same order, as from files.
+
+    With run, what it makes (of kind) of the blocks without rest: it gets them
+    one at a time in the worker that packs them, so a task needs no second one.
+    carry must be the same whenever the same numbers are meant.
     """
     kept = [c for c in docs.columns if c != "text"]
     known = F.col("doc_id").try_cast("bigint").isNotNull()
@@ -63,11 +67,13 @@ def pack_blocks(docs: DataFrame, carry: bool = False) -> DataFrame:
                 b = max(a + 1, int(np.searchsorted(ends, ends[a] + BLOCK_BYTES, side="right")) - 1)
                 lens = np.diff(ends[a : b + 1]).astype(np.int32)
                 columns = [pa.array([(task << 32) + k], pa.int64()), pa.array([ids[a:b].tobytes()], pa.binary()), pa.array([is_known[a:b].tobytes()], pa.binary()), pa.array([lens], pa.list_(pa.int32())), pa.array([press.compress(raw[ends[a] : ends[b]])], pa.binary())]
-                if carry:
+                if carry and not run:
                     columns.append(one_list(batch.column("rest").slice(a, b - a)))
                 yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "known", "lens", "data", "rest"][: len(columns)])
                 a, k = b, k + 1
 
+    if run:
+        return rows.mapInArrow(lambda batches: run(pack(batches)), kind)
     packed = StructType().add("block", "long").add("ids", "binary").add("known", "binary").add("lens", ArrayType(IntegerType())).add("data", "binary")
     return rows.mapInArrow(pack, packed.add("rest", ArrayType(rows.schema["rest"].dataType)) if carry else packed)
 
@@ -132,6 +138,11 @@ def send(block: int, round_: int, values: np.ndarray, choice: np.ndarray, bucket
     return [(round_, b, block, narrow(values[a:e], width)) for b, (a, e) in enumerate(zip([0, *ends[:-1]], ends)) if e > a]  # noqa: B905
 
 
+def sent_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of SENT as a batch."""
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["round", "bucket", "block", "data"])
+
+
 def received(flags: pd.DataFrame, round_: int, choice: np.ndarray, buckets: int) -> np.ndarray:
     """The flags that came back, in the order of the fingerprints."""
     out = np.zeros(len(choice), np.uint8)

@@ -15,7 +15,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -73,7 +73,7 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(hashes)
 
 
-def texts_of(row: pd.Series) -> list[bytes]:
+def texts_of(row: Mapping) -> list[bytes]:
     raw, ends = packed.unpack(row["data"]), np.cumsum(row["lens"])
     return [raw[e - n : e] for n, e in zip(np.asarray(row["lens"]).tolist(), ends.tolist())]  # noqa: B905
 
@@ -163,20 +163,21 @@ def link_sets(sets: list[np.ndarray], percent: int, apart: np.ndarray | None = N
     return root
 
 
-def set_classes(blocks: DataFrame, total: int, percent: int = 80, words: int = 5) -> DataFrame:
-    """(block, place, doc_id, n_shingles, root): root is the same for the documents of a component, null without words."""
-    buckets = packed.bucket_count(total / 7)
+def set_classes(docs: DataFrame, carry: bool, percent: int = 80, words: int = 5) -> DataFrame:
+    """(block, place, doc_id, n_shingles, root), by the blocks that carry or don't: root is the same for the documents of a component, null without words."""
+    buckets = packed.bucket_count(packed.text_bytes(docs) / 7)
+    blocks = packed.pack_blocks(docs, carry).drop("rest")
 
-    def block_set(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def block_set(row: Mapping) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document and shingle of each entry, and the block's distinct shingles."""
         doc, h = shingle_sets(texts_of(row), words)
         return doc, h, np.unique(h)
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, row in batch.iterrows():
+            for row in batch.to_pylist():
                 own = block_set(row)[2]
-                yield pd.DataFrame(packed.send(int(row["block"]), 0, own, packed.mix(own), buckets, NOMINATE), columns=["round", "bucket", "block", "data"])
+                yield packed.sent_batch(packed.send(row["block"], 0, own, packed.mix(own), buckets, NOMINATE))
 
     def index(left: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
         workers.enter("blocks")
@@ -202,7 +203,7 @@ def set_classes(blocks: DataFrame, total: int, percent: int = 80, words: int = 5
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         return frame
 
-    ranks = packed.judge(blocks.mapInPandas(first, packed.SENT), NOMINATE, frequency_class)
+    ranks = packed.judge(packed.pack_blocks(docs, carry, first, packed.SENT), NOMINATE, frequency_class)
     listed = blocks.groupBy("block").cogroup(ranks.groupBy("block")).applyInPandas(index, "block bigint, place int, doc_id bigint, n bigint, node binary, entries array<bigint>")
     table = cut(listed)
     entries = table.filter(F.size("entries") > 0).select("node", F.explode("entries").alias("token")).distinct()
@@ -256,7 +257,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5) -> Da
     smallest unless a component has no other. Repeated rows each get a row.
     doc_id is read as a whole number, what isn't one as null.
     """
-    rooted = set_classes(packed.pack_blocks(docs), packed.text_bytes(docs), percent, words)
+    rooted = set_classes(docs, False, percent, words)
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -268,7 +269,7 @@ def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     Columns keep their names, order and types, whatever they are called.
     """
     blocks = packed.pack_blocks(docs, carry=True)
-    rooted = set_classes(blocks.drop("rest"), packed.text_bytes(docs), percent, words).filter("root is not null")
+    rooted = set_classes(docs, True, percent, words).filter("root is not null")
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "block", "place")
     firsts = rooted.groupBy("root").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     gone = rooted.join(firsts, "root").filter(at != F.col("first")).select("block", "place")

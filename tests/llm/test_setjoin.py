@@ -134,3 +134,21 @@ def test_keep_one_keeps_rows_as_they_are(spark):
 
 def test_empty(spark):
     assert got(spark.createDataFrame([], "doc_id bigint, text string")) == []
+
+
+def test_blocks_in_one_worker(spark):
+    """What is made of blocks where they are packed sees the same blocks, and a task has one Python worker for both."""
+    import pyarrow as pa
+
+    from mosaiq.llm import packed
+
+    def run(batches):
+        for batch in batches:
+            assert batch.num_rows == 1 and "rest" not in batch.schema.names
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("ids"), batch.column("data")], ["block", "ids", "data"])
+
+    docs = spark.createDataFrame([(k, "x y " * k, "z" * k) for k in range(60)] + [(None, None, None)], "doc_id bigint, text string, lang string").repartition(3)
+    for carry in (False, True):
+        one = packed.pack_blocks(docs, carry, run, "block bigint, ids binary, data binary")
+        assert sorted(one.collect()) == sorted(packed.pack_blocks(docs, carry).select("block", "ids", "data").collect())
+        assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
