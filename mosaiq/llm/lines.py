@@ -14,7 +14,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,9 +40,11 @@ SHARE_LINES, SHARE_BYTES = 1500, 4_000_000
 #: Bytes of lines of small components that one task compares, about.
 GROUP_BYTES = 1_000_000
 #: Bytes of lines whose distances from one line are found together.
-LANE_BITS = 16_000
+LANE_BITS = 8_000
 #: Counts of 4-grams that are kept for a line; those of equal remainder count as one.
 BINS = 1021
+#: Lines are first aligned by their words if so much of the 4-grams that may change does; the others hardly pass that way.
+LIKELY = 0.35
 #: Bytes of text for each fingerprint that is sent, about.
 BYTES_A_KEY = 9
 #: Bytes of text that are hashed at a time.
@@ -235,6 +237,36 @@ def replaced(a: bytes, b: bytes) -> int | None:
     return sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) if len(x) == len(y) else None  # noqa: B905
 
 
+def aligned(a: bytes, b: bytes) -> int:
+    """The cost of keeping a longest common subsequence of words and replacing what lies between them, a bound of the distance."""
+    x, y, at, before = a.split(b" "), b.split(b" "), {}, []
+    # what both begin and end with needs no search
+    k = next((k for k, (v, w) in enumerate(zip(x, y)) if v != w), min(len(x), len(y)))  # noqa: B905
+    x, y = x[k:], y[k:]
+    k = next((k for k, (v, w) in enumerate(zip(reversed(x), reversed(y))) if v != w), min(len(x), len(y)))  # noqa: B905
+    x, y = x[: len(x) - k], y[: len(y) - k]
+    for j, w in enumerate(y):
+        at[w] = at.get(w, 0) | 1 << j
+    full = v = (1 << len(y)) - 1
+    for w in x:
+        before.append(v)
+        u = v & at.get(w, 0)
+        v = (v + u | v - u) & full
+    before.append(v)
+    # backwards: a bit of nought tells that the common subsequence grows with that word of y
+    i, j, cost, gaps = len(x), len(y), 0, [0, 0]
+    while i or j:
+        if i and j and x[i - 1] == y[j - 1]:
+            cost, gaps, i, j = cost + max(gaps), [0, 0], i - 1, j - 1
+        elif j and (not i or before[i] >> j - 1 & 1):
+            j -= 1
+            gaps[1] += len(y[j]) + 1
+        else:
+            i -= 1
+            gaps[0] += len(x[i]) + 1
+    return cost + max(gaps)
+
+
 def similar(a: bytes, b: bytes, percent: int) -> bool:
     """Whether the edit similarity, 1 - distance / longer length, is percent at least."""
     most = (100 - percent) * max(len(a), len(b))
@@ -242,12 +274,12 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
     return way is not None and 100 * way <= most or 100 * abs(len(a) - len(b)) <= most and 100 * edit_distance(a, b, percent) <= most
 
 
-def near_ones(lines: list[bytes], x: int, others: list[int], percent: int) -> list[int]:
-    """Those of others whose edit similarity with line x, 1 - distance / longer length, is percent at least."""
+def near_ones(lines: list[bytes], x: int, others: list[int], percent: int, likely: set[int] | None = None) -> list[int]:
+    """Those of others whose edit similarity with line x, 1 - distance / longer length, is percent at least; likely ones are aligned by words first."""
     near = lambda y, d: 100 * d <= (100 - percent) * max(len(lines[x]), len(lines[y]))
     # words that are replaced settle most; the distances of the others come together
     blanks = lines[x].count(b" ")
-    found = [y for y in others if lines[y].count(b" ") == blanks and near(y, replaced(lines[x], lines[y]))]
+    found = [y for y in others if lines[y].count(b" ") == blanks and near(y, replaced(lines[x], lines[y])) or likely and y in likely and near(y, aligned(lines[x], lines[y]))]
     met = set(found)
     left = [y for y in others if y not in met]
     if len(left) == 1:
@@ -268,7 +300,8 @@ def link_lines(lines: list[bytes], percent: int, group: np.ndarray, sims: list[n
     Lines that share most blocks go first: what is joined with one of them by
     then isn't compared again, so near copies cost about one comparison each.
     An edit changes four 4-grams at most, so lines whose counts of 4-grams
-    differ by more aren't compared.
+    differ by more aren't compared, nor are those whose counts of bytes differ
+    by more than the edits may be.
     """
     n, root, size = len(lines), np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines))
     owner, blocks = np.repeat(np.arange(n), [len(x) for x in sims]), np.concatenate(sims)
@@ -282,7 +315,7 @@ def link_lines(lines: list[bytes], percent: int, group: np.ndarray, sims: list[n
     low, high = new[of_key[by_line]], (new + times)[of_key[by_line]]
     ends = np.cumsum(np.bincount(owner, minlength=n))
     starts = ends - np.bincount(owner, minlength=n)
-    todo, grams = weight > 0, {}
+    todo, grams, letters_of = weight > 0, {}, {}
 
     def gram_counts(k: int) -> np.ndarray:
         if k not in grams:
@@ -290,6 +323,17 @@ def link_lines(lines: list[bytes], percent: int, group: np.ndarray, sims: list[n
             grams[k] = np.bincount((raw[:-3] * 7919 + raw[1:-2] * 1009 + raw[2:-1] * 97 + raw[3:]) % BINS, minlength=BINS).astype(np.int16 if len(raw) < 1 << 14 else np.int32)
         return grams[k]
 
+    def byte_counts(k: int) -> np.ndarray:
+        if k not in letters_of:
+            letters_of[k] = np.bincount(np.frombuffer(lines[k], np.uint8), minlength=256)
+        return letters_of[k]
+
+    def edits(counts: Callable[[int], np.ndarray], x: int, z: np.ndarray) -> np.ndarray:
+        """How many counts of x must go, or come, to make those of each of z."""
+        differ = np.stack([counts(k) for k in z.tolist()]) - counts(x)
+        more = np.maximum(differ, 0).sum(1, dtype=np.int64)
+        return np.maximum(more, more - differ.sum(1, dtype=np.int64))
+
     at = -1
     for x in np.lexsort((-weight, group)).tolist():
         if not todo[x]:
@@ -297,17 +341,20 @@ def link_lines(lines: list[bytes], percent: int, group: np.ndarray, sims: list[n
         if group[x] != at:
             at = group[x]
             grams.clear()
+            letters_of.clear()
         todo[x] = False
         spans = sorted(set(zip(low[starts[x] : ends[x]].tolist(), high[starts[x] : ends[x]].tolist())))  # noqa: B905
         z = np.unique(np.concatenate([owner[a:b] for a, b in spans]))
         z = z[todo[z] & (root[z] != root[x]) & (np.minimum(size[z], size[x]) * 100 >= percent * np.maximum(size[z], size[x]))]
         if apart is not None:
             z = z[(apart[z] != apart[x]) | (apart[z] < 0)]
-        if len(z) > 1:
-            differ = np.stack([gram_counts(k) for k in z.tolist()]) - gram_counts(x)
-            more = np.maximum(differ, 0).sum(1, dtype=np.int64)
-            z = z[100 * np.maximum(more, more - differ.sum(1, dtype=np.int64)) <= 4 * (100 - percent) * np.maximum(size[z], size[x])]
-        for y in near_ones(lines, x, z.tolist(), percent) if len(z) else []:
+        if not len(z):
+            continue
+        most, changed = (100 - percent) * np.maximum(size[z], size[x]), 100 * edits(gram_counts, x, z)
+        likely = set(z[changed <= LIKELY * 4 * most].tolist())
+        z, most = z[changed <= 4 * most], most[changed <= 4 * most]
+        z = z[100 * edits(byte_counts, x, z) <= most] if len(z) else z
+        for y in near_ones(lines, x, z.tolist(), percent, likely) if len(z) else []:
             a, b = sorted((root[x], root[y]))
             if a != b:
                 root[root == b] = a
@@ -364,6 +411,26 @@ class Lines:
         return wanted, [x and sim[x[0] : x[1]] for x in spans], [x and np.unique(hub[x[0] : x[1]]) for x in spans]
 
 
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) that connect what nodes and their lists of hubs do within a batch, each node with one b: fewer edges, the same components."""
+    workers.enter("blocks")
+    for batch in batches:
+        hubs = batch.column("hubs")
+        ends = np.repeat(batch.column("node").to_numpy(), np.asarray(hubs.value_lengths()))
+        nodes, of = np.unique(np.concatenate([ends, hubs.flatten().to_numpy()]), return_inverse=True)
+        root = np.arange(len(nodes))
+        a, b = of[: len(ends)], of[len(ends) :]
+        while len(a):
+            # the larger root takes the smaller one, then paths are halved until they end
+            np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+            while not np.array_equal(root, root[root]):
+                root = root[root]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+        use = root != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[use]), pa.array(nodes[root[use]])], ["a", "b"])
+
+
 def frequent_words(docs: DataFrame) -> tuple[np.ndarray, int]:
     """The sorted hashes of words that are too frequent for anchors, as so many of them would meet by chance, and the bytes of all texts.
 
@@ -446,7 +513,7 @@ def fuzzy_duplicates(docs: DataFrame, total: int, frequent: np.ndarray, percent:
     ranks = packed.pack_blocks(docs, carry=True, run=scan, kind=packed.SENT).groupBy("round", "bucket").applyInPandas(answer, packed.FLAGS)
     listed = cut(blocks.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(wanted, "node bigint, key binary, doc_id bigint, block bigint, place int, line int, sims array<bigint>, hubs array<bigint>, text binary"))
     # half a key is enough for a node, a hub is none: what either merges by chance is told apart below
-    near = components(listed.filter("hubs is not null").select(F.col("node").alias("a"), F.explode("hubs").alias("b")))
+    near = components(listed.filter("hubs is not null").select("node", "hubs").mapInArrow(stars, "a bigint, b bigint"))
     texts = cut(listed.filter("text is not null").select("node", "key", "text", "sims").join(near, "node").drop("node"))
     sizes = texts.groupBy("root").agg(F.sum(F.length("text")).alias("bytes"), F.count(F.lit(1)).alias("n"))
     groups = int((sizes.agg(F.sum("bytes")).first()[0] or 0) / GROUP_BYTES) + 1

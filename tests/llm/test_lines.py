@@ -51,6 +51,39 @@ def test_changed_words_leave_blocks():
     assert len(lines.blocks_of_lines([a], frequent)[1]) == 4
 
 
+def test_aligned():
+    """Aligned by words, a line's cost is never below its distance, and exact where whole words go or come."""
+    r = random.Random(8)
+    for _ in range(500):
+        a = [bytes(r.choice(b"ab") for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(1, 9))]
+        b = [x for x in a if r.random() < 0.8] or [b"a"]
+        b.insert(r.randrange(len(b) + 1), r.choice([b"cdefg", *a]))
+        x, y = b" ".join(a), b" ".join(b)
+        assert lines.aligned(x, y) >= plain_distance(x, y) and lines.aligned(x, x) == 0
+        assert lines.aligned(x, x + b" cdefg") == lines.aligned(b"cdefg " + x, x) == 6
+
+
+def test_stars():
+    """Fewer edges connect the same nodes, and a node points to one other at most."""
+    import pyarrow as pa
+
+    def parts(edges):
+        root = {}
+        find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+        for a, b in edges:
+            root[find(a)] = find(b)
+        return {frozenset(y for y in root if find(y) == find(x)) for x in root}
+
+    r = random.Random(9)
+    for _ in range(50):
+        rows = [(r.randrange(-40, 40), [r.randrange(-40, 40) for _ in range(r.randrange(1, 4))]) for _ in range(r.randrange(1, 40))]
+        batch = pa.RecordBatch.from_pydict({"node": pa.array([x for x, _ in rows], pa.int64()), "hubs": pa.array([h for _, h in rows], pa.list_(pa.int64()))})
+        (out,) = lines.stars(iter([batch]))
+        found = list(zip(*out.to_pydict().values(), strict=True))
+        assert len({a for a, _ in found}) == len(found)
+        assert parts(found) == {p for p in parts([(x, y) for x, h in rows for y in h]) if len(p) > 1}
+
+
 def test_words():
     """Words by place, line and hash, whatever their length and wherever a chunk ends; lines by their words."""
     text = "one  Two\n\n THREE,é-x\n---\none two\n".encode().translate(lines.FOLD)
