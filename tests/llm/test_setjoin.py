@@ -151,4 +151,4 @@ def test_blocks_in_one_worker(spark):
     for carry in (False, True):
         one = packed.pack_blocks(docs, carry, run, "block bigint, ids binary, data binary")
         assert sorted(one.collect()) == sorted(packed.pack_blocks(docs, carry).select("block", "ids", "data").collect())
-        assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert one._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
