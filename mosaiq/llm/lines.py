@@ -5,7 +5,8 @@
    are none. A block is three anchors, and its 64 bits of the line's SimHash
    are those that most of the three words' hashes have. By the pigeonhole
    principle two lines of which up to ANCHORS - 3 anchors differ have a block
-   in common. Lines of few words have blocks of all their words but one.
+   in common. Lines of few words have blocks of all their words but one; those
+   of more words but PART anchors or fewer take other words beside them.
 2. Blocks of documents send fingerprints of their lines and of the SimHash
    blocks, and learn which occur more often. Only those lines are joined.
 3. Lines that share a SimHash block meet at one node for each, not in pairs.
@@ -151,11 +152,18 @@ def simhash_blocks(line: np.ndarray, hashes: np.ndarray, size: np.ndarray, n_lin
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
         anchor &= frequent[at] != hashes
-    words, _, count = table(anchor, ANCHORS)
+    distinct = np.bincount(line, minlength=n_lines)
+    use = np.flatnonzero(anchor)
+    # too few anchors for a block, or just enough for one: the line's other words come after them
+    bare = ((np.bincount(line[use], minlength=n_lines) <= PART) & (distinct > FEW))[line]
+    if bare.any():
+        own = np.flatnonzero(bare)
+        use = np.concatenate([np.flatnonzero(anchor & ~bare), own[np.lexsort((~anchor[own], line[own]))]])
+        use = use[np.argsort(line[use], kind="stable")]
+    words, _, count = table(use, ANCHORS)
     for part in combinations(range(ANCHORS), PART):
         of = np.flatnonzero(count >= ANCHORS - part[0])
         send(of, simhash(*(words[of, k] for k in part)), 1)
-    distinct = np.bincount(line, minlength=n_lines)
     short = (distinct <= FEW)[line]
     words, sizes, count = table(short, FEW)
     total = sizes.sum(axis=1)

@@ -51,6 +51,23 @@ def test_changed_words_leave_blocks():
     assert len(lines.blocks_of_lines([a], frequent)[1]) == 4
 
 
+def test_lines_of_frequent_words_have_blocks():
+    """Nine words and more of which all, or all but two, are frequent: a line shares a block with what one changed word makes of it."""
+    r = random.Random(7)
+    w = ["".join(r.choice("abcdefghij") for _ in range(r.choice([2, 3, 6]))) for _ in range(40)]
+    rare = ["".join(r.choice("klmnopqrst") for _ in range(7)) for _ in range(40)]
+    frequent = np.unique(lines.Words(" ".join(w).encode() + b"\n").hash)
+    for k in range(100):
+        a = r.sample(w, r.randrange(9, 20)) + r.sample(rare[:20], k % 3)
+        b, c = list(a), list(a)
+        b[r.randrange(9)] = r.choice(w)
+        c[r.randrange(9)] = r.choice(rare[20:])
+        of, sim = lines.blocks_of_lines([" ".join(x).encode() for x in (a, b, c)], frequent)
+        sets = [set(sim[of == j].tolist()) for j in range(3)]
+        assert len(sets[0]) == (of == 0).sum() and sets[0] & sets[2]
+        assert len(set(b)) <= lines.FEW or sets[0] & sets[1]
+
+
 def test_aligned():
     """Aligned by words, a line's cost is never below its distance, and exact where whole words go or come."""
     r = random.Random(8)
