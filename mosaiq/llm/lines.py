@@ -9,8 +9,11 @@
    of more words but PART anchors or fewer take other words beside them.
 2. Blocks of documents send fingerprints of their lines and of the SimHash
    blocks, and learn which occur more often. Only those lines are joined.
-3. Lines that share a SimHash block meet at one node for each, not in pairs.
-   Within a component those that share one and aren't together yet are compared.
+3. Each SimHash block has a lead, the first line that owns it, and lines meet
+   at the leads of their blocks: near copies have few, so a line goes to few
+   places, however many lines are connected with it. There those that share a
+   block and aren't together yet are compared; groups are the components of
+   what is alike.
 """
 
 from __future__ import annotations
@@ -36,9 +39,9 @@ ANCHORS, PART, LONG = 6, 3, 4
 FEW, LEAST, SEVERAL = 8, 8, 2
 #: A word is frequent if more than MOST of the lines have it, and more than (ANCHORS choose PART times the lines) ** (-1 / PART).
 MOST, RARE_LINES = 0.02, 50
-#: Lines, and bytes, of a component that one task compares with each other; a larger one is dealt out in pairs of shares.
+#: Lines, and bytes, of a lead that one task compares with each other; those of a larger one are dealt out in pairs of shares.
 SHARE_LINES, SHARE_BYTES = 1500, 4_000_000
-#: Bytes of lines of small components that one task compares, about.
+#: Bytes of lines of small leads that one task compares, about.
 GROUP_BYTES = 1_000_000
 #: Bytes of lines whose distances from one line are found together.
 LANE_BITS = 8_000
@@ -405,18 +408,21 @@ class Lines:
         n = int(self.number[k])
         return b" ".join(self.folded[int(self.words.feeds[n - 1]) + 1 if n else 0 : int(self.words.feeds[n])].split())
 
-    def listed(self, flags: pd.DataFrame, buckets: int) -> tuple[np.ndarray, list[np.ndarray | None], list[np.ndarray | None]]:
-        """The lines that occur more often or may have a near one; the shared SimHash blocks of the latter, and the blocks' hubs; None for copies."""
+    def listed(self, flags: pd.DataFrame, buckets: int) -> tuple[np.ndarray, pa.Array]:
+        """The lines that occur more often or may have a near one, and the shared SimHash blocks of the latter by the blocks' leads; null for copies."""
         copies = packed.received(flags, 0, self.choice, buckets)
-        line, sim, hub = packed.received_owned(flags, 1)
+        line, sim, lead = packed.received_owned(flags, 1)
         use = copies[line] != 1
-        order = np.lexsort((hub[use], line[use]))
-        line, sim, hub = line[use][order], sim[use][order].view(np.int64), hub[use][order].view(np.int64)
-        ends = np.searchsorted(line, np.arange(len(self.first) + 1))
-        wanted = np.flatnonzero(((copies > 0) | (self.times > 1) | (np.diff(ends) > 0))[self.of])
-        standing = self.first[self.of[wanted]] == wanted
-        spans = [(ends[d], ends[d + 1]) if stands and ends[d + 1] > ends[d] else None for d, stands in zip(self.of[wanted].tolist(), standing.tolist())]  # noqa: B905
-        return wanted, [x and sim[x[0] : x[1]] for x in spans], [x and np.unique(hub[x[0] : x[1]]) for x in spans]
+        order = np.lexsort((lead[use], line[use]))
+        line, sim, lead = line[use][order], sim[use][order].view(np.int64), lead[use][order].view(np.int64)
+        new = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (lead[1:] != lead[:-1]))) if len(line) else np.zeros(0, np.int64)
+        ends = np.searchsorted(line[new], np.arange(len(self.first) + 1))
+        near = np.diff(ends) > 0
+        wanted = np.flatnonzero(((copies > 0) | (self.times > 1) | near)[self.of])
+        stands = (self.first[self.of[wanted]] == wanted) & near[self.of[wanted]]
+        sims = pa.ListArray.from_arrays(pa.array(np.append(new, len(line)), pa.int32()), pa.array(sim))
+        parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(lead[new]), sims], ["lead", "sims"]))
+        return wanted, parts.take(pa.array(self.of[wanted], pa.int64(), mask=~stands))
 
 
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,8 +430,9 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     workers.enter("blocks")
     for batch in batches:
         hubs = batch.column("hubs")
-        ends = np.repeat(batch.column("node").to_numpy(), np.asarray(hubs.value_lengths()))
-        nodes, of = np.unique(np.concatenate([ends, hubs.flatten().to_numpy()]), return_inverse=True)
+        kind = batch.column("node").type
+        ends = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), np.asarray(hubs.value_lengths()))
+        nodes, of = np.unique(np.concatenate([ends, hubs.flatten().to_numpy(zero_copy_only=False)]), return_inverse=True)
         root = np.arange(len(nodes))
         a, b = of[: len(ends)], of[len(ends) :]
         while len(a):
@@ -436,7 +443,7 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             apart = root[a] != root[b]
             a, b = a[apart], b[apart]
         use = root != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[use]), pa.array(nodes[root[use]])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[use], kind), pa.array(nodes[root[use]], kind)], ["a", "b"])
 
 
 def frequent_words(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -508,45 +515,48 @@ def fuzzy_duplicates(docs: DataFrame, total: int, frequent: np.ndarray, percent:
         out = []
         for row in left.to_pylist():
             t = Lines(row)
-            at, sims, hubs = t.listed(flags.to_pandas(), buckets)
+            at, parts = t.listed(flags.to_pandas(), buckets)
             ids = t.ids.take(t.place[at])
             keys = t.keys[at]
-            columns = [pa.array(keys[:, 0].view(np.int64)), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array(ids, pa.int64(), from_pandas=True), pa.array(np.full(len(at), t.block)), pa.array(t.place[at]), pa.array(t.nth[at]), pa.array(sims, pa.list_(pa.int64())), pa.array(hubs, pa.list_(pa.int64())), pa.array([None if s is None else t.text(k) for k, s in zip(at.tolist(), sims)], pa.binary())]  # noqa: B905
-            out.append(pa.Table.from_arrays(columns, ["node", "key", "doc_id", "block", "place", "line", "sims", "hubs", "text"]))
+            columns = [pa.array([x.tobytes() for x in keys], pa.binary()), pa.array(ids, pa.int64(), from_pandas=True), pa.array(np.full(len(at), t.block)), pa.array(t.place[at]), pa.array(t.nth[at]), parts, pa.array([t.text(k) if near else None for k, near in zip(at.tolist(), parts.is_valid().to_pylist())], pa.binary())]  # noqa: B905
+            out.append(pa.Table.from_arrays(columns, ["key", "doc_id", "block", "place", "line", "parts", "text"]))
         return pa.concat_tables(out)
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         return packed.shared(rows) if rows["round"].iloc[0] else packed.judged(rows, 8, packed.repeated_or_first)
 
     ranks = packed.pack_blocks(docs, carry=True, run=scan, kind=packed.SENT).groupBy("round", "bucket").applyInPandas(answer, packed.FLAGS)
-    listed = cut(blocks.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(wanted, "node bigint, key binary, doc_id bigint, block bigint, place int, line int, sims array<bigint>, hubs array<bigint>, text binary"))
-    # half a key is enough for a node, a hub is none: what either merges by chance is told apart below
-    near = components(listed.filter("hubs is not null").select("node", "hubs").mapInArrow(stars, "a bigint, b bigint"))
-    texts = cut(listed.filter("text is not null").select("node", "key", "text", "sims").join(near, "node").drop("node"))
-    sizes = texts.groupBy("root").agg(F.sum(F.length("text")).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    listed = cut(blocks.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(wanted, "key binary, doc_id bigint, block bigint, place int, line int, parts array<struct<lead:bigint,sims:array<bigint>>>, text binary"))
+    # what a lead's number merges by chance is told apart by the blocks
+    texts = listed.filter("parts is not null").select("key", "text", "parts")
+    sizes = cut(texts.select(F.length("text").alias("bytes"), F.explode("parts.lead").alias("lead")).groupBy("lead").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")))
     groups = int((sizes.agg(F.sum("bytes")).first()[0] or 0) / GROUP_BYTES) + 1
-    sizes = sizes.select("root", F.greatest(F.ceil(F.col("n") / SHARE_LINES), F.ceil(F.col("bytes") / SHARE_BYTES)).cast("int").alias("m"))
+    # at most one lead in SHARE_LINES rows is that large, so they may be broadcast
+    large = sizes.select("lead", F.greatest(F.ceil(F.col("n") / SHARE_LINES), F.ceil(F.col("bytes") / SHARE_BYTES)).cast("int").alias("m")).filter("m > 1")
+    held = texts.select("key", "text", F.explode("parts").alias("part")).select("key", "text", "part.lead", "part.sims").join(F.broadcast(large), "lead", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     own = F.pmod(F.xxhash64("key"), F.col("m")).cast("int")
-    held = texts.join(sizes, "root").select("root", "key", "text", "sims", "m", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("k"))
-    dealt = held.select("root", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "key", "m", "text", "sims")
-    # small components go to a task together, a pair of shares alone
-    task = F.when(F.col("m") == 1, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.xxhash64("root", "i", "j"))
-    tasks = dealt.withColumn("task", task).repartition(groups, "task")
+    held = held.select("lead", "key", "text", "sims", "m", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("k"))
+    dealt = held.select("lead", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "key", "m", "text", "sims")
+    # small leads go to a task together, a pair of shares alone
+    task = F.when(F.col("m") == 1, F.pmod(F.xxhash64("lead"), F.lit(groups))).otherwise(F.xxhash64("lead", "i", "j"))
+    tasks = dealt.withColumn("task", task).drop("m").repartition(groups, "task")
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         workers.enter("blocks")
-        rows = rows.assign(n=rows["text"].map(len)).sort_values(["root", "i", "j", "n", "key"])
-        keys, whole = rows["key"].to_numpy(), (rows["m"] == 1).to_numpy()
-        group = np.cumsum((rows[["root", "i", "j"]].diff() != 0).any(axis=1).to_numpy())
+        # a line whose block only its own copies have meets nobody
+        rows = rows[rows.duplicated(["lead", "i", "j"], keep=False)]
+        if rows.empty:
+            return pd.DataFrame({"a": [], "b": []})
+        rows = rows.assign(n=rows["text"].map(len)).sort_values(["lead", "i", "j", "n", "key"])
+        keys = rows["key"].to_numpy()
+        group = np.cumsum((rows[["lead", "i", "j"]].diff() != 0).any(axis=1).to_numpy())
         apart = np.where(rows["i"] != rows["j"], rows["own"], -1)
         first = link_lines(rows["text"].tolist(), percent, group, rows["sims"].tolist(), apart)
         linked = first != np.arange(len(rows))
-        return pd.DataFrame({"a": keys[linked], "b": keys[first][linked], "whole": whole[linked]})
+        return pd.DataFrame({"a": keys[linked], "b": keys[first][linked]})
 
-    links = cut(tasks.groupBy("task").applyInPandas(verify, "a binary, b binary, whole boolean"))
-    linked = links.filter("whole").select(F.col("a").alias("key"), F.col("b").alias("root"))
-    if not links.filter("not whole").isEmpty():
-        linked = linked.union(components(links.filter("not whole").select("a", "b")).filter("node <> root"))
+    links = cut(tasks.groupBy("task").applyInPandas(verify, "a binary, b binary"))
+    linked = components(links.select(F.col("a").alias("node"), F.array("b").alias("hubs")).mapInArrow(stars, "a binary, b binary")).filter("node <> root").select(F.col("node").alias("key"), "root")
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "block", "place", "line")
     rooted = listed.select(at.alias("at"), "key").join(linked, "key", "left").select("at", F.coalesce("root", "key").alias("root"))
     # firsts are written, so that the join can split the rows of a common line

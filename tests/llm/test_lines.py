@@ -175,6 +175,27 @@ def test_against_all_pairs(spark, monkeypatch, seed, share):
     assert next(r.text for r in got if r.doc_id == 102) == "---\n***\n---"
 
 
+def test_long_chains_are_dealt_in_proportion(spark, monkeypatch):
+    """Lines that share a block with the next one each, but aren't alike, are dealt out twice at most, however many are connected."""
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(lines, "SHARE_LINES", 10)
+    r, cut, links = random.Random(11), lines.cut, []
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(11))
+    families = [" ".join(word() for _ in range(3)) for _ in range(121)]
+    texts = [f"{x} {y}" for x, y in zip(families, families[1:])]  # noqa: B905
+    # the last one has a near copy
+    df = spark.createDataFrame(list(enumerate([*texts, texts[-1][:-1] + "z"])), "doc_id bigint, text string")
+    monkeypatch.setattr(lines, "cut", lambda df: links.append(df) or cut(df))
+    got = lines.dedup_lines(df).filter("size(removed) > 0").collect()
+    assert [x.doc_id for x in got] == [120]
+    (found,) = (x for x in links if x.columns[:2] == ["a", "b"])
+    # what the comparisons read
+    read = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, found._jdf.queryExecution().analyzed().children().head())
+    n = DataFrame(read, spark).count()
+    assert 121 <= n <= 2 * 121
+
+
 @pytest.mark.parametrize(("words", "changes", "least"), [(50, 1, 0.99), (50, 5, 0.95), (30, 3, 0.95), (20, 2, 0.95), (12, 1, 0.95), (100, 18, 0.9)])
 def test_recall_of_changed_words(words, changes, least):
     r = random.Random(5)
